@@ -35,51 +35,51 @@ from .common import scratch, table, text_of
 END = 2
 VOCABULARY = 50_257
 SHARD_TOKENS = 1 << 20
-ROUNDS = 5
+ROUNDS = 6
 #: A pair must occur so often in a shard to become a rule, and so many do a round.
 LEAST, RULES_A_ROUND = 12, 2048
-_BITS = 22
+_BITS = 18
 
 FILE = "part int, block int, n_tokens bigint, doc_ids binary, doc_symbols binary, doc_tokens binary, rules binary, expansions binary, symbols binary"
 
 
-def _frequent(key: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent keys, ascending. Hashed counts find candidates, exact counts decide."""
-    h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-    often = np.bincount(h, minlength=1 << _BITS)[h] >= least
-    found, n = np.unique(key[often], return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    if len(found) > most:
-        top = np.lexsort((found, -n))[:most]
-        found = np.sort(found[top])
-    return found
-
-
 def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids of a shard; last: whether a document ends there. Returns rules (r, 2),
-    expansion lengths of the rules, symbols, and whether a document ends at a symbol."""
+    expansion lengths of the rules, symbols, and whether a document ends at a symbol.
+
+    Pairs are counted without sorting: each slot of a hash table stands for the last
+    pair that fell into it and counts that pair alone; a pair that lost its slot to
+    another is found in a later round or stays as it is."""
     symbols, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
     count = 0
+    pair_of = np.zeros(1 << _BITS, np.uint64)
+    rule_of = np.zeros(1 << _BITS, np.uint32)
     for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = np.flatnonzero(~last[:-1])
-        top = _frequent(key[inside], RULES_A_ROUND, LEAST)
-        if not len(top):
+        at = np.flatnonzero(~last[:-1])
+        key = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+        pair_of[slot] = key
+        own = pair_of[slot] == key
+        times = np.bincount(slot[own], minlength=1 << _BITS)
+        often = np.flatnonzero(times >= LEAST)
+        if not len(often):
             break
-        spot = np.searchsorted(top, key)
-        spot[spot == len(top)] = 0
-        hit = (top[spot] == key) & ~last[:-1]
-        at = np.flatnonzero(hit)
+        top = often[np.argsort(-times[often], kind="stable")[:RULES_A_ROUND]]
+        chosen = np.zeros(1 << _BITS, bool)
+        chosen[top] = True
+        rule_of[top] = np.arange(len(top))
+        hit = own & chosen[slot]
+        at, slot = at[hit], slot[hit]
         # Runs of overlapping hits: every other one, from the left.
         new_run = np.ones(len(at), bool)
         new_run[1:] = np.diff(at) > 1
-        begin = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        rules.append(np.stack([(top >> np.uint64(32)).astype(np.uint32), top.astype(np.uint32)], 1))
-        symbols[at] = base + count + spot[at]
+        number = np.arange(len(at))
+        odd = (number - np.maximum.accumulate(np.where(new_run, number, 0))) % 2
+        at, slot = at[odd == 0], slot[odd == 0]
+        top_pairs = pair_of[top]
+        rules.append(np.stack([(top_pairs >> np.uint64(32)).astype(np.uint32), top_pairs.astype(np.uint32)], 1))
+        symbols[at] = base + count + rule_of[slot]
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
             yield _arrow(_shard(part, block, doc_ids, ids))
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
 
 
