@@ -155,8 +155,14 @@ def fit(docs: DataFrame) -> Model:
         else:
             df[slot] = n
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
+    # The sample is chosen without texts: first within salted parts of a language, so no
+    # task sees more than its share of a large one, then among what those parts leave.
+    keys = docs.where((fold() != 1) & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    few = keys.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).drop("k")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("__lang"), "k").dropDuplicates(["doc_id", "__lang"])
+    chosen = rows.join(ids, (rows["doc_id"] == ids["doc_id"]) & (rows["lang"] == ids["__lang"])).select("text", "lang", "k")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +173,7 @@ def fit(docs: DataFrame) -> Model:
             )
 
     sample = chosen.select("text", "lang", F.col("k").cast("bigint")).mapInArrow(features, "lang string, k bigint, slots binary, counts binary").collect()
-    sample.sort(key=lambda r: (r.k, r.lang))
+    sample.sort(key=lambda r: (r.k, r.lang, r.slots))
     return train([(np.frombuffer(r.slots, "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64), r.lang) for r in sample], df, documents)
 
 
