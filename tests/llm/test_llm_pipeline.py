@@ -6,7 +6,7 @@ import corpus_pipeline
 from tessera.llm.byte_bpe import Encoder
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import drop_copies
-from tessera.llm.language_id import fit
+from tessera.llm.language_id import LEAST_SCORE, fit
 
 from .conftest import SF
 from .test_llm_exact_dedup import brute as exact
@@ -18,7 +18,7 @@ def test_against_brute_force(spark):
     docs = table(spark, SF, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     model = fit(docs)
-    keep = {i for i, r in rows.items() if (lambda x: x[0] != "und" and x[1] >= 0.5)(model.predict(r.text))}
+    keep = {i for i, r in rows.items() if (lambda x: x[0] != "und" and x[1] >= LEAST_SCORE)(model.predict(r.text))}
     assert len(keep) > 0.9 * len(rows)
     keep = {i for i, k, *_ in exact([(i, rows[i].text) for i in keep]) if i == k}
     keep = {i for i, _, c in near([(i, rows[i].text) for i in keep]) if i == c}
