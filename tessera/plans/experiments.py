@@ -4,6 +4,7 @@ one aggregation over (fold, candidate) however many folds there are."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,19 +16,22 @@ from ..operators.features import factor_signal
 from ..operators.portfolio import long_only
 
 
-def _candidates(panel: DataFrame, factor: str, parameter: str, values: list[int], fixed: dict):
+def _candidates(panel: DataFrame, factor: str, parameter: str, values: list[int], fixed: dict, prepare: Callable | None = None):
     if len(set(values)) < len(values) or not values:
         raise ValueError("values must be different, one at least")
     for v in values:
-        yield v, *factor_signal(panel, factor, **{parameter: v}, **fixed)
+        made = factor_signal(panel, factor, **{**fixed, parameter: v})
+        yield v, *(prepare(*made) if prepare else made)
 
 
-def sweep(panel: DataFrame, factor: str, parameter: str, values: list[int], settings: BacktestSettings, top_n: int, label: str = "forward_return_1d", least: int = 2, **fixed) -> DataFrame:
-    """One row a value: performance, mean IC and joint coverage."""
+def sweep(panel: DataFrame, factor: str, parameter: str, values: list[int], settings: BacktestSettings, top_n: int, label: str = "forward_return_1d", least: int = 2, method: str = "pearson", prepare: Callable | None = None, weights: Callable | None = None, **fixed) -> DataFrame:
+    """One row a value: performance, mean IC and joint coverage. prepare: (panel, signal)
+    -> (panel, signal) after the factor; weights: (panel, signal) -> panel, if not top_n."""
+    weights = weights or (lambda df, signal: long_only(df, signal, top_n))
     out = []
-    for v, df, signal in _candidates(panel, factor, parameter, values, fixed):
-        perf = performance(run_backtest(long_only(df, signal, top_n), settings))
-        ic = ic_series(df, signal, label, least=least).agg(F.avg("ic").alias("mean_ic"))
+    for v, df, signal in _candidates(panel, factor, parameter, values, fixed, prepare):
+        perf = performance(run_backtest(weights(df, signal), settings))
+        ic = ic_series(df, signal, label, method, least).agg(F.avg("ic").alias("mean_ic"))
         cover = coverage_summary(coverage(df, signal, label)).select("joint_coverage")
         out.append(perf.join(ic).join(cover).select(F.lit(v).cast("bigint").alias("value"), "*"))  # one row each
     return reduce(DataFrame.unionByName, out)
@@ -42,17 +46,18 @@ def folds(dates: list, train: int, test: int) -> list[tuple[list, list]]:
     return [(dates[i : i + train], dates[i + train : i + train + test]) for i in range(0, len(dates) - train - test + 1, test)]
 
 
-def walk_forward(panel: DataFrame, factor: str, parameter: str, values: list[int], settings: BacktestSettings, top_n: int, train: int, test: int, metric: str = "cumulative_return", label: str = "forward_return_1d", **fixed) -> DataFrame:
+def walk_forward(panel: DataFrame, factor: str, parameter: str, values: list[int], settings: BacktestSettings, top_n: int, train: int, test: int, metric: str = "cumulative_return", label: str = "forward_return_1d", least: int = 2, method: str = "pearson", prepare: Callable | None = None, weights: Callable | None = None, **fixed) -> DataFrame:
     """Per fold: the value with the best train score (the first listed wins ties, a
     missing score loses), its train score and its test return."""
     spark = panel.sparkSession
+    weights = weights or (lambda df, signal: long_only(df, signal, top_n))
     dates = [r[0] for r in panel.select("date").distinct().orderBy("date").collect()]  # one row a date
     parts = [(k, role, d) for k, (a, b) in enumerate(folds(dates, train, test)) for role, ds in (("train", a), ("test", b)) for d in ds]
     labels = spark.createDataFrame(parts, "fold bigint, role string, date date")
     runs = []
-    for i, (v, df, signal) in enumerate(_candidates(panel, factor, parameter, values, fixed)):
-        daily = run_backtest(long_only(df, signal, top_n), settings).select("date", "net_return")
-        ic = ic_series(df, signal, label).select("date", "ic")
+    for i, (v, df, signal) in enumerate(_candidates(panel, factor, parameter, values, fixed, prepare)):
+        daily = run_backtest(weights(df, signal), settings).select("date", "net_return")
+        ic = ic_series(df, signal, label, method, least).select("date", "ic")
         runs.append(daily.join(ic, "date", "left").select(F.lit(i).alias("k"), F.lit(v).cast("bigint").alias("value"), "*"))
     x, sd = F.col("net_return"), F.stddev_samp("net_return")
     scored = reduce(DataFrame.unionByName, runs).join(labels, "date").groupBy("fold", "role", "k", "value").agg(
