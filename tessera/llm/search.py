@@ -6,17 +6,18 @@ its documents and the counts. Statistics are global (number of documents, mean
 length, document frequencies over all shards), so scores of different shards compare
 and the merge of their top k is exact.
 
-In a shard, documents are in blocks of ``BLOCK`` and each (term, block) has its
-largest impact. A query first sums these into an upper bound for each block, then
-scores blocks in the order of their bounds, a few at a time, and stops when the next
-bound is below its k-th score: no block that could hold a better document is left
-out, and ties go to the smaller doc_id.
+In a shard, documents are in blocks of ``BLOCK``. For a query, postings of rare terms
+are added up exactly; common terms (in over 1 / ``DENSE`` of the documents) give each
+block the sum of their largest impacts there. Both together bound each document's score.
+The ``AHEAD`` * k documents with the highest bounds are scored first, then every one
+whose bound reaches the k-th of these scores: no document that could be better is left
+out. Scores are rounded to 9 decimals and ties go to the smaller doc_id.
 
 Plan: documents are tokenised once into index rows in the shared folder; document
 frequencies are summed by term; queries get their weights by a join on the term (AQE
 splits hot terms) and equal queries become one, so a group of copies asks once. Blocks
-of queries of bounded size are broadcast in turn to all shards, and the shards' top
-k are merged by query.
+of queries of bounded size are broadcast in turn to all shards, which write their top
+k; these are merged by query.
 
 Defined results: null or empty texts and texts without words are found by nobody and
 ask nothing; of rows that repeat a doc_id the smallest text asks; the asking document
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, scratch, table, text_of
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD, BLOCK, STEP = 16_384, 64, 16
+SHARD, BLOCK, DENSE, AHEAD = 16_384, 64, 16, 4
 #: (term, weight) pairs of the queries that are broadcast at once: 16 bytes each.
 PAIRS = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -84,7 +85,11 @@ def write_index(docs: DataFrame, path: str, shard: int = SHARD) -> None:
 
 
 class Shard:
-    """The postings of a shard with impacts and block maxima, for given statistics."""
+    """The postings of a shard with impacts and block maxima, for given statistics.
+
+    Terms of more than 1 / DENSE of the documents also have their impacts as a row over
+    all documents; a document has few such terms, so the rows are at most DENSE times
+    the postings."""
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK):
         get = lambda k, t: np.frombuffer(row[k], t)
@@ -92,14 +97,23 @@ class Shard:
         self.terms, sizes = get("terms", np.int64), get("sizes", np.int32)
         self.places, count = get("places", np.int32), get("counts", np.int32).astype(float)
         self.impact = count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[self.places] / mean))
-        term = np.repeat(np.arange(len(self.terms)), sizes)
-        at = self.places // block
-        begin = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])])
-        self.begin, self.end = begin, np.r_[begin[1:], len(term)]
-        self.block_of = at[begin]
-        self.most = np.maximum.reduceat(self.impact, begin)
-        self.first = np.searchsorted(term[begin], np.arange(len(self.terms) + 1))
-        self.blocks, self.block = int(-(-len(self.ids) // block)), block
+        self.first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        n = len(self.ids)
+        self.block, blocks = block, -(-n // block)
+        dense = np.flatnonzero(sizes * DENSE > n)
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), blocks * block))
+        for i, t in enumerate(dense):
+            at = slice(self.first[t], self.first[t + 1])
+            self.dense[i, self.places[at]] = self.impact[at]
+        # Alike documents come into the same blocks: by strongest common term, then length.
+        order = np.lexsort((lengths, self.dense[:, :n].argmax(axis=0))) if len(dense) else np.arange(n)
+        new = np.empty(n, np.int32)
+        new[order] = np.arange(n)
+        self.ids, self.places = self.ids[order], new[self.places]
+        self.dense[:, :n] = self.dense[:, order]
+        self.most = self.dense.reshape(len(dense), blocks, block).max(axis=2)
 
     @staticmethod
     def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,31 +129,27 @@ class Shard:
         at, weights = at[here], weights[here]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        a, b = self.first[at], self.first[at + 1]
-        pair, w = self._ranges(a, b), np.repeat(weights, b - a)
-        block = self.block_of[pair]
-        bound = np.bincount(block, w * self.most[pair], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")  # keeps the terms' order in a block
-        start = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        ids, scores, least, lo, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, STEP
-        while lo < self.blocks and bound[order[lo]] > 0 and bound[order[lo]] >= least - 1e-9:
-            some = np.sort(order[lo : lo + step])
-            some = some[bound[some] >= least - 1e-9]
-            p = by_block[self._ranges(start[some], start[some + 1])]
-            n = self.end[pair[p]] - self.begin[pair[p]]
-            post = self._ranges(self.begin[pair[p]], self.end[pair[p]])
-            place = self.places[post]
-            local = np.searchsorted(some, place // self.block) * self.block + place % self.block
-            total = np.bincount(local, np.repeat(w[p], n) * self.impact[post], len(some) * self.block)
-            found = np.flatnonzero(total > 0)
-            ids = np.r_[ids, self.ids[some[found // self.block] * self.block + found % self.block]]
-            scores = np.r_[scores, total[found]]
-            best = np.lexsort((ids, -scores))[:top]
-            ids, scores = ids[best], scores[best]
-            least = scores[-1] if len(scores) == top else -1.0
-            lo, step = lo + step, step * 2
-        return ids, scores
+        n, row = len(self.ids), self.row[at]
+        rare, common = row < 0, row[row >= 0]
+        a, b = self.first[at[rare]], self.first[at[rare] + 1]
+        post, w = self._ranges(a, b), weights[row >= 0]
+        sure = np.bincount(self.places[post], np.repeat(weights[rare], b - a) * self.impact[post], n)
+        bound = sure + np.repeat(w @ self.most[common], self.block)[:n]
+
+        def full(some: np.ndarray) -> np.ndarray:
+            return np.round(sure[some] + w @ self.dense[np.ix_(common, some)], 9)
+
+        begin = np.argpartition(-bound, AHEAD * top)[: AHEAD * top] if n > AHEAD * top else np.arange(n)
+        score = full(begin)
+        least = np.partition(score, -top)[-top] if len(begin) > top else 0.0
+        rest = bound >= least - 1e-8
+        rest[begin] = False
+        rest = np.flatnonzero(rest)
+        some, score = np.r_[begin, rest], np.r_[score, full(rest)]
+        some, score = some[score > 0], score[score > 0]
+        ids = self.ids[some]
+        best = np.lexsort((ids, -score))[:top]
+        return ids[best], score[best]
 
 
 def search(docs: DataFrame, asking: DataFrame, top: int = TOP, shard: int = SHARD, pairs: int = PAIRS) -> DataFrame:
@@ -171,24 +181,33 @@ def search(docs: DataFrame, asking: DataFrame, top: int = TOP, shard: int = SHAR
     df = index.select("terms", "sizes").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.col("n") * F.log(1 + (F.lit(docs_) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = different.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("p"))
-    # Queries are put into blocks of bounded size by their running number of pairs.
-    sized = cut(weighted.withColumn("part", F.pmod("query", F.lit(max(1, asked.count() // pairs * 2 + 1)))))
-    hits = None
+    def packed(batches):
+        for b in batches:
+            pairs_, at = b.column(1), np.r_[b.column(1).offsets.to_numpy()]
+            terms, weights = (pairs_.values.field(i).to_numpy() for i in (0, 1))
+            cells = [[x[i:j].tobytes() for i, j in zip(at, at[1:])] for x in (terms, weights)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.binary()) for c in cells]], names=["query", "terms", "weights"])
+
+    # Queries are put into blocks of bounded size by their running number of pairs. The
+    # driver holds one block at a time, 16 bytes a pair; its hits are written before the next.
+    blobs = weighted.mapInArrow(packed, "query bigint, terms binary, weights binary")
+    sized = cut(blobs.withColumn("part", F.pmod("query", F.lit(max(1, asked.count() // pairs * 2 + 1)))))
+    found = scratch(spark, "bm25-hits")
+    spark.createDataFrame([], HITS).write.parquet(found)
     for (part,) in sized.select("part").distinct().orderBy("part").collect():
-        rows = sized.where(F.col("part") == part).collect()
-        held = spark.sparkContext.broadcast([(r.query, np.array([x[0] for x in r.p], np.int64), np.array([x[1] for x in r.p])) for r in rows])
+        rows = sized.where(F.col("part") == part).select("query", "terms", "weights").toArrow().to_pylist()
+        held = spark.sparkContext.broadcast([(r["query"], r["terms"], r["weights"]) for r in rows])
 
         def run(batches, held=held, mean=length / max(1, docs_)):
             for b in batches:
                 for row in b.to_pylist():
                     s = Shard(row, mean)
-                    out = [(q, *s.search(t, w, top)) for q, t, w in held.value]
+                    out = [(q, *s.search(np.frombuffer(t, np.int64), np.frombuffer(w, np.float64), top)) for q, t, w in held.value]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, *_ in out], np.int64), [len(i) for _, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([x for *_, x in out]))], names=["query", "doc_id", "score"])
 
-        found = index.mapInArrow(run, HITS)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
+        index.mapInArrow(run, HITS).write.mode("append").parquet(found)
+        held.destroy()
+    hits = spark.read.schema(HITS).parquet(found)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     top_hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return members.join(top_hits, "query").select("query_id", "rank", "doc_id", "score")
