@@ -29,6 +29,8 @@ from .common import table, text_of
 
 NEAR, LEAST = 40, 0.5
 BLOCK = 64
+#: So many matches of a kind, with the text up to the next, cover ``NEAR`` code points.
+REACH = NEAR // 2
 #: Characters of an IBAN by its country code: the registry's, and those in use beside it.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -124,22 +126,29 @@ def prefix_sums(lengths: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("s")), lambda p: within(p)))
 
 
-def _spans(kind: str) -> tuple[Column, Column]:
-    """Starts of one kind's matches, and its confirmed spans, from its columns of
-    matches and gaps."""
+def _spans(kind: str) -> tuple[Column, Column, Column, Column]:
+    """Starts of one kind's matches, the text at their ends and beginnings, and its
+    confirmed spans, from its columns of matches and gaps."""
     m, g = F.col(f"__m_{kind}"), F.col(f"__g_{kind}")
     gaps, own = F.transform(g, F.length), F.transform(m, F.length)
+    # What ends with a match, and what begins with one, as far as it can be near another.
+    n = F.size(m)
+    tails = F.zip_with(F.slice(g, F.lit(1), n), m, lambda a, b: F.right(F.concat(a, b), F.lit(NEAR)))
+    heads = F.zip_with(m, F.slice(g, F.lit(2), n), lambda a, b: F.left(F.concat(a, b), F.lit(NEAR)))
     steps = F.zip_with(gaps, F.concat(own, F.array(F.lit(0))), lambda a, b: a + b)
     starts = F.zip_with(prefix_sums(steps), gaps, lambda a, b: a + b)
 
     def span(match: Column, i: Column) -> Column:
         start = F.get(F.col(f"__s_{kind}"), i)
-        near = F.concat(F.right(F.get(g, i), F.lit(NEAR)), F.lit("\n"), F.left(F.get(g, i + 1), F.lit(NEAR)))
+        first = F.greatest(i - REACH, F.lit(0))
+        left = F.concat(F.array_join(F.slice(F.col(f"__t_{kind}"), first + 1, i - first), ""), F.get(g, i))
+        right = F.concat(F.get(g, i + 1), F.array_join(F.slice(F.col(f"__h_{kind}"), i + 2, F.lit(REACH)), ""))
+        near = F.concat(F.right(left, F.lit(NEAR)), F.lit("\n"), F.left(right, F.lit(NEAR)))
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0)))
         fit = valid(kind, match) if kind in BASE else valid(kind, match) & (score >= LEAST)
         return F.when(fit, F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), score.alias("score")))
 
-    return starts, F.filter(F.transform(m, span), lambda s: s.isNotNull())
+    return starts, tails, heads, F.filter(F.transform(m, span), lambda s: s.isNotNull())
 
 
 #: A character that every match of a kind contains, to skip texts without it.
@@ -156,12 +165,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
         if kind in _MUST:
             t = F.when(F.contains(t, F.lit(_MUST[kind])), t).otherwise(F.lit(""))
         stages["m"] += [F.regexp_extract_all(t, p, 0).alias(f"__m_{kind}"), F.split(t, PATTERNS[kind], -1).alias(f"__g_{kind}")]
-        starts, found = _spans(kind)
-        stages["s"].append(F.when(F.size(f"__m_{kind}") > 0, starts).alias(f"__s_{kind}"))
+        *parts, found = _spans(kind)
+        stages["s"] += [F.when(F.size(f"__m_{kind}") > 0, c).alias(f"__{x}_{kind}") for x, c in zip("sth", parts, strict=True)]
         stages["f"].append(F.when(F.size(f"__m_{kind}") > 0, found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")))
     df = df.select("*", *stages["m"]).select("*", *stages["s"])
     df = df.withColumn("__spans", F.concat(*stages["f"]))
-    return df.drop(*[f"__{x}_{k}" for k in KINDS for x in "mgs"])
+    return df.drop(*[f"__{x}_{k}" for k in KINDS for x in "mgsth"])
 
 
 def find(docs: DataFrame) -> DataFrame:
