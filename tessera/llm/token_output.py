@@ -2,22 +2,30 @@
 
 Documents are range-partitioned and sorted by doc_id, encoded (public byte-level
 BPE, then id 2) and cut into shards of about ``SHARD_TOKENS`` ids, whole documents
-each. Per shard the grammar grows in rounds: the most frequent adjacent pairs are
-counted, given nonterminals (ids from the vocabulary's size up) and replaced from
-the left, all occurrences at once; a pair never spans two documents. The file holds
-for each shard the rules (two symbols each), the expansion length of each rule, the
+each. Per shard, frequent adjacent pairs are repeatedly replaced by nonterminals (ids
+from the vocabulary's size up); a pair never spans two documents. Pairs are counted
+exactly, occurrences that overlap (in runs of one id) once. In a round all pairs that
+occur ``least`` times or more are ranked by their counts, each occurrence that shares
+no symbol with one of a better pair is replaced, and a pair that would be replaced in
+fewer places waits. Rounds go on until no pair is so frequent; ``least`` falls over
+``PHASES``. The last is 4: a rule is stored as three numbers (two symbols and a
+length) and a replacement saves one, so under four occurrences nothing is gained.
+After the first round of a phase only pairs beside a replacement, or passed over, can
+be frequent, so the work of a shard is near linear.
+
+The file holds for each shard the rules, the expansion length of each rule, the
 symbols, and for each document its id, its first symbol and its number of ids, so
 one document, or any range of ids in it, is decoded without the rest of the shard.
 
 The files are written by Spark's Parquet writer (one row a shard, the arrays as
 little-endian binary columns, zstd) into the shared folder: the output committer
 makes the write survive lost executors, and any store that Spark writes will do.
-The order of shards is (part, block); a document's ``start`` is the prefix sum of the
-shards' counts, one number a shard, plus its place in the shard.
+The order of shards is (part, block); a row knows the ids before it in its part, and
+the driver holds one sum for each part (8 bytes each, broadcast).
 
 Defined results: null text = empty text (id 2 alone); ties of doc_id are ordered by
-text; a null doc_id comes first; an empty table gives an empty file and no rows;
-extra columns are ignored.
+text; a null doc_id comes first; a very long text is a shard of its own; an empty table
+gives an empty file and no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,104 +37,136 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch, table, text_of
 
 END = 2
 VOCABULARY = 50_257
 SHARD_TOKENS = 1 << 20
-ROUNDS = 6
-#: A pair must occur so often in a shard to become a rule, and so many do a round.
-LEAST, RULES_A_ROUND = 12, 2048
-_BITS = 18
+PHASES = (256, 32, 4)
+_BITS = 20
 
-FILE = "part int, block int, n_tokens bigint, doc_ids binary, doc_symbols binary, doc_tokens binary, rules binary, expansions binary, symbols binary"
+FILE = "part int, block int, before bigint, n_tokens bigint, doc_ids binary, doc_symbols binary, doc_tokens binary, rules binary, expansions binary, symbols binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids of a shard; last: whether a document ends there. Returns rules (r, 2),
-    expansion lengths of the rules, symbols, and whether a document ends at a symbol.
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys (pairs of symbols) in ascending order, and the keys so ordered."""
+    left, right = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+    if len(key) >= 1 << 22 or max(int(left.max()), int(right.max())) >= 1 << 21:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    # Pair and place fit into one word, and words alone sort several times as fast.
+    word = np.sort(left << np.uint64(43) | right << np.uint64(22) | np.arange(len(key), dtype=np.uint64))
+    pair = word >> np.uint64(22)
+    return (word & np.uint64((1 << 22) - 1)).astype(np.int64), (pair >> np.uint64(21)) << np.uint64(32) | (pair & np.uint64((1 << 21) - 1))
 
-    Pairs are counted without sorting: each slot of a hash table stands for the last
-    pair that fell into it and counts that pair alone; a pair that lost its slot to
-    another is found in a later round or stays as it is."""
-    symbols, last = ids.astype(np.uint32), last.copy()
-    rules: list[np.ndarray] = []
-    count = 0
-    pair_of = np.zeros(1 << _BITS, np.uint64)
-    rule_of = np.zeros(1 << _BITS, np.uint32)
-    for _ in range(rounds):
-        at = np.flatnonzero(~last[:-1])
-        key = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
-        pair_of[slot] = key
-        own = pair_of[slot] == key
-        times = np.bincount(slot[own], minlength=1 << _BITS)
-        often = np.flatnonzero(times >= LEAST)
-        if not len(often):
-            break
-        top = often[np.argsort(-times[often], kind="stable")[:RULES_A_ROUND]]
-        chosen = np.zeros(1 << _BITS, bool)
-        chosen[top] = True
-        rule_of[top] = np.arange(len(top))
-        hit = own & chosen[slot]
-        at, slot = at[hit], slot[hit]
-        # Runs of overlapping hits: every other one, from the left.
-        new_run = np.ones(len(at), bool)
-        new_run[1:] = np.diff(at) > 1
-        number = np.arange(len(at))
-        odd = (number - np.maximum.accumulate(np.where(new_run, number, 0))) % 2
-        at, slot = at[odd == 0], slot[odd == 0]
-        top_pairs = pair_of[top]
-        rules.append(np.stack([(top_pairs >> np.uint64(32)).astype(np.uint32), top_pairs.astype(np.uint32)], 1))
-        symbols[at] = base + count + rule_of[slot]
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        count += len(top)
-    table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return table_, expansion_lengths(table_, base), symbols, last
-
-
-def expansion_lengths(rules: np.ndarray, base: int = VOCABULARY) -> np.ndarray:
-    """Ids that each rule stands for; a rule refers to earlier rules only."""
-    out = np.ones(len(rules), np.int64)
-    low = 0
-    while low < len(rules):  # rules of one round refer to rules of earlier rounds
-        part = rules[low:]
-        deep = (part.astype(np.int64) - base).max(axis=1)
-        high = low + int(np.argmax(deep >= low)) if (deep >= low).any() else len(rules)
-        sides = rules[low:high].astype(np.int64) - base
-        out[low:high] = np.where(sides >= 0, out[np.maximum(sides, 0)], 1).sum(axis=1)
-        low = high
-    return out
+
+def _may_be_frequent(symbols: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """Places whose pair shares its slot of a hash table with ``least`` pairs: all places
+    of frequent pairs, and some others."""
+    h = symbols[:-1] * np.uint32(2654435761)
+    h ^= h >> np.uint32(15)
+    slot = ((h + symbols[1:]) * np.uint32(2246822519)) >> np.uint32(32 - _BITS)
+    free = ~last[:-1]
+    often = np.bincount(slot[free], minlength=1 << _BITS) >= least
+    return np.flatnonzero(free & often[slot])
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int = VOCABULARY) -> np.ndarray:
-    """The ids of symbols, all nonterminals of a level at a time."""
-    symbols = symbols.astype(np.uint32)
-    while (deep := symbols >= base).any():
-        places = np.cumsum(np.where(deep, 2, 1)) - np.where(deep, 2, 1)
-        out = np.empty(int(deep.sum()) + len(symbols), np.uint32)
-        out[places[~deep]] = symbols[~deep]
-        pair = rules[symbols[deep] - base]
-        out[places[deep]], out[places[deep] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, phases: tuple = PHASES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids of a shard; last: whether a document ends there. Returns rules (r, 2),
+    expansion lengths of the rules, symbols, and whether a document ends at a symbol."""
+    symbols, last = ids.astype(np.uint32), last.copy()
+    rules, sizes = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
+    for least in phases:
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        gone = np.zeros(n, bool)
+        at = _may_be_frequent(symbols, last, least)
+        while len(at):
+            key = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[after[at]]
+            # In a run of one symbol every other place counts, from the left.
+            run = np.zeros(len(at), bool)
+            run[1:] = (after[at[:-1]] == at[1:]) & (key[1:] == key[:-1])
+            passed = at[:0]
+            if run.any():
+                k = np.arange(len(at))
+                odd = (k - np.maximum.accumulate(np.where(run, 0, k))) % 2 == 1
+                passed, at, key = at[odd], at[~odd], key[~odd]
+            order, ordered = _sorted(key)
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            times = np.diff(np.r_[first, len(ordered)])
+            often = times >= least
+            if not often.any():
+                break
+            pairs = ordered[first[often]]
+            by = np.lexsort((pairs, -times[often]))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            of_pair = np.full(len(first), -1)
+            of_pair[often] = rank
+            r = np.empty(len(at), np.int64)
+            r[order] = np.repeat(of_pair, times)
+            at, r = at[r >= 0], r[r >= 0]
+            # Of two occurrences that share a symbol, the better pair's is replaced.
+            shared = after[at[:-1]] == at[1:]
+            wins = np.ones(len(at), bool)
+            wins[:-1] &= ~(shared & (r[:-1] > r[1:]))
+            wins[1:] &= ~(shared & (r[1:] > r[:-1]))
+            pays = np.bincount(r[wins], minlength=len(by)) >= least
+            wins &= pays[r]
+            place, r = at[wins], r[wins]
+            new = pairs[by][pays]
+            new = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+            symbols[place] = base + len(rules) + (np.cumsum(pays) - 1)[r]
+            sizes = np.r_[sizes, _sizes(new, sizes, base).sum(axis=1)]
+            rules = np.concatenate([rules, new])
+            end = after[place]
+            last[place], gone[end] = last[end], True
+            after[place] = after[end]
+            inner = after[place] < n
+            before[after[place[inner]]] = place[inner]
+            look = np.zeros(n, bool)
+            look[passed] = look[at[~wins]] = look[place] = True
+            left = before[place]
+            look[left[left >= 0]] = True
+            at = np.flatnonzero(look & ~gone & ~last)
+        symbols, last = symbols[~gone], last[~gone]
+    return rules, sizes, symbols, last
+
+
+def _sizes(symbols: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """Ids that each symbol stands for."""
+    if not len(sizes):
+        return np.ones(symbols.shape, np.int64)
+    rule = symbols.astype(np.int64) - base
+    return np.where(rule >= 0, sizes[np.maximum(rule, 0)], 1)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int = VOCABULARY) -> np.ndarray:
+    """The ids of symbols: a nonterminal's two sides go to their places, level by level."""
+    n = _sizes(symbols, sizes, base)
+    at = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    while len(symbols):
+        deep = symbols >= base
+        out[at[~deep]] = symbols[~deep]
+        symbols, at = symbols[deep], at[deep]
+        sides = rules[symbols - base] if len(symbols) else rules[:0]
+        symbols, at = sides.T.ravel(), np.r_[at, at + _sizes(sides[:, 0], sizes, base)]
+    return out
 
 
 def slice_of(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, start: int, length: int, base: int = VOCABULARY) -> np.ndarray:
     """Random access: ids start..start+length of a document's symbols, expanding only
     the symbols that the range touches."""
-    sizes = np.where(symbols >= base, expansions[np.maximum(symbols.astype(np.int64) - base, 0)] if len(expansions) else 1, 1)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(_sizes(symbols, expansions, base))
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, base)[start - before : start - before + length]
+    return expand(symbols[a:b], rules, expansions, base)[start - before : start - before + length]
 
 
-def _shard(part: int, block: int, doc_ids: list, ids: list[np.ndarray]) -> tuple:
+def _shard(part: int, block: int, before: int, doc_ids: list, ids: list[np.ndarray]) -> tuple:
     n = np.array([len(x) for x in ids], np.int64)
     last = np.zeros(int(n.sum()), bool)
     last[np.cumsum(n) - 1] = True
@@ -135,11 +175,11 @@ def _shard(part: int, block: int, doc_ids: list, ids: list[np.ndarray]) -> tuple
     null = np.array([x is None for x in doc_ids])
     known = np.array([0 if x is None else x for x in doc_ids], "<i8")
     head = known.tobytes() + null.tobytes()
-    return part, block, int(n.sum()), head, first.tobytes(), n.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.astype("<u4").tobytes()
+    return part, block, before, int(n.sum()), head, first.tobytes(), n.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.astype("<u4").tobytes()
 
 
 def _arrow(row: tuple) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
     names = [x.split()[0] for x in FILE.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
@@ -151,17 +191,17 @@ def write_tokens(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
         from .byte_bpe import encoder
 
         enc, end = encoder(), np.array([END], np.uint32)
-        part, block, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, [], []
+        part, block, before, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(np.concatenate([enc.encode(text), end]))
                 doc_ids.append(doc_id)
                 held += len(ids[-1])
                 if held >= shard_tokens:
-                    yield _arrow(_shard(part, block, doc_ids, ids))
-                    block, held, doc_ids, ids = block + 1, 0, [], []
+                    yield _arrow(_shard(part, block, before, doc_ids, ids))
+                    block, before, held, doc_ids, ids = block + 1, before + held, 0, [], []
         if ids:
-            yield _arrow(_shard(part, block, doc_ids, ids))
+            yield _arrow(_shard(part, block, before, doc_ids, ids))
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -173,7 +213,8 @@ def documents_of(row: dict) -> tuple[list, np.ndarray, np.ndarray]:
     tokens = np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64)
     m = len(tokens)
     known, null = np.frombuffer(row["doc_ids"], "<i8", m), np.frombuffer(row["doc_ids"], bool, m, 8 * m)
-    ids = expand(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2))
+    sizes = np.frombuffer(row["expansions"], "<u4").astype(np.int64)
+    ids = expand(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2), sizes)
     return [None if x else k for k, x in zip(known.tolist(), null.tolist(), strict=True)], tokens, ids
 
 
@@ -189,9 +230,10 @@ def read_document(row: dict, k: int, start: int = 0, length: int | None = None)
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     files = spark.read.schema(FILE).parquet(path)
-    starts, total = {}, 0
-    for part, block, n in sorted(files.select("part", "block", "n_tokens").collect()):  # one number a shard
-        starts[part, block], total = total, total + n
+    sums = files.groupBy("part").agg(F.sum("n_tokens")).collect()  # one number a part
+    before = np.zeros(max((r[0] for r in sums), default=-1) + 2, np.int64)
+    before[[r[0] + 1 for r in sums]] = [r[1] for r in sums]
+    held = spark.sparkContext.broadcast(np.cumsum(before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +242,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(tokens)
                 begin = ends - tokens
                 crc = [zlib.crc32(ids[a:e].tobytes()) for a, e in zip(begin.tolist(), ends.tolist(), strict=True)]
-                columns = [doc_ids, begin + starts[row["part"], row["block"]], tokens, crc]
+                columns = [doc_ids, begin + held.value[row["part"]] + row["before"], tokens, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from tessera.llm.byte_bpe import Encoder
 from tessera.llm.common import scratch, table
 from tessera.llm.packing import CAPACITY, difference, pack, windows_of
-from tessera.llm.token_output import FILE, documents_of, expand, expansion_lengths, read_document, read_tokens, repair, slice_of, write_tokens
+from tessera.llm.token_output import FILE, PHASES, documents_of, expand, read_document, read_tokens, repair, slice_of, write_tokens
 
 from .conftest import SF
 
@@ -73,6 +74,70 @@ def test_packing_empty(empty, hard):
     assert pack(hard).where("doc_id is null").count() == 1
 
 
+def scalar_repair(docs, base, phases):
+    """The same rounds by plain lists and dictionaries, every round over everything."""
+    rules = []
+    for least in phases:
+        while True:
+            places = {}
+            for d, x in enumerate(docs):
+                taken = -1
+                for i in range(len(x) - 1):
+                    if x[i] == x[i + 1] and i > 0 and x[i - 1] == x[i] and taken == i - 1:
+                        continue  # overlaps the occurrence before it in the run
+                    taken = i
+                    places.setdefault((x[i], x[i + 1]), []).append((d, i))
+            often = sorted((p for p in places if len(places[p]) >= least), key=lambda p: (-len(places[p]), p))
+            if not often:
+                break
+            rank = {o: k for k, p in enumerate(often) for o in places[p]}
+            wins = {o: k for (o, k) in rank.items() if rank.get((o[0], o[1] - 1), k) >= k and rank.get((o[0], o[1] + 1), k) >= k}
+            pays = [k for k in range(len(often)) if sum(v == k for v in wins.values()) >= least]
+            number = {k: base + len(rules) + j for j, k in enumerate(pays)}
+            rules += [often[k] for k in pays]
+            for d, x in enumerate(docs):
+                out, i = [], 0
+                while i < len(x):
+                    k = wins.get((d, i))
+                    out.append(number[k] if k in number else x[i])
+                    i += 2 if k in number else 1
+                docs[d] = out
+    return rules, docs
+
+
+@pytest.mark.parametrize("phases", [(4,), (8, 3), (2,)])
+def test_repair_equals_a_scalar_one(phases):
+    rng = np.random.default_rng(7)
+    for letters in (2, 3, 12):
+        docs = [rng.integers(0, letters, rng.integers(1, 90)).tolist() for _ in range(25)] + [[1] * 37, [0, 0, 0], [2] * 5 + [0] * 6]
+        ids = np.array([x for d in docs for x in d], np.uint32)
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum([len(d) for d in docs]) - 1] = True
+        rules, sizes, symbols, ends = repair(ids, last, base=100, phases=phases)
+        want, left = scalar_repair([list(d) for d in docs], 100, phases)
+        assert list(map(tuple, rules.tolist())) == want
+        assert symbols.tolist() == [x for d in left for x in d]
+        assert np.flatnonzero(ends).tolist() == (np.cumsum([len(d) for d in left]) - 1).tolist()
+        assert (expand(symbols, rules, sizes, 100) == ids).all()
+
+
+def test_no_pair_is_left_that_pays(spark, enc):
+    texts = [r.text for r in table(spark, SF, "documents").limit(150).collect()]
+    docs = [ids_of(enc, t, 2) for t in texts]
+    last = np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    ids = np.concatenate(docs)
+    rules, sizes, symbols, ends = repair(ids, last)
+    count, at, n = Counter(), -2, symbols.tolist()
+    for i in range(len(n) - 1):
+        if not ends[i] and not (n[i] == n[i + 1] and i > 0 and n[i - 1] == n[i] and not ends[i - 1] and at == i - 1):
+            count[n[i], n[i + 1]] += 1
+            at = i
+    assert max(count.values()) < PHASES[-1]
+    assert len(symbols) + 3 * len(rules) < 0.8 * len(ids)
+    assert (expand(symbols, rules, sizes) == ids).all()
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     ids = np.tile(rng.integers(0, 40, 500).astype(np.uint32), 20)
@@ -80,10 +145,9 @@ def test_repair_round_trip_and_random_access():
     last = np.zeros(len(ids), bool)
     last[99::100] = True
     rules, sizes, symbols, ends = repair(ids, last)
-    assert (expand(symbols, rules) == ids).all() and len(symbols) < len(ids) / 4 and ends.sum() == last.sum()
+    assert (expand(symbols, rules, sizes) == ids).all() and len(symbols) < len(ids) / 4 and ends.sum() == last.sum()
     for k in range(len(rules)):
-        assert len(expand(np.array([50_257 + k], np.uint32), rules)) == sizes[k]
-    assert (expansion_lengths(rules) == sizes).all()
+        assert len(expand(np.array([50_257 + k], np.uint32), rules, sizes)) == sizes[k]
     for a, n in ((0, 1), (5, 77), (150, 400), (9990, 10)):
         assert (slice_of(symbols, rules, sizes, a, n) == ids[a : a + n]).all()
 
