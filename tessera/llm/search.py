@@ -1,27 +1,36 @@
-"""Exact top-k search: BM25 over an inverted index with block-max pruning, per shard.
+"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, per shard.
 
 Words are lower-cased runs of letters, digits and underscore, kept as 64-bit hashes.
-A shard indexes up to ``SHARD`` documents of a partition: for each term the places of
-its documents and the counts. Statistics are global (number of documents, mean
-length, document frequencies over all shards), so scores of different shards compare
-and the merge of their top k is exact.
-
-In a shard, documents are in blocks of ``BLOCK``. For a query, postings of rare terms
-are added up exactly; common terms (in over 1 / ``DENSE`` of the documents) give each
-block the sum of their largest impacts there. Both together bound each document's score.
-The ``AHEAD`` * k documents with the highest bounds are scored first, then every one
-whose bound reaches the k-th of these scores: no document that could be better is left
-out. Scores are rounded to 9 decimals and ties go to the smaller doc_id.
+A shard indexes documents of a partition until it has ``POSTINGS`` postings: for each
+term the places of its documents and the counts. Statistics are global (number of
+documents, those without words included, mean length, document frequencies over all
+shards), so scores of different shards compare and the merge of their top k is exact.
+
+In a shard alike documents are side by side, in blocks of ``BLOCK`` and parts of blocks of
+``PART``. Lists of terms in over 1 / ``DENSE`` of the documents have their largest
+impact in each block and each part; in the shorter lists a block would hold about one
+posting, so the postings are the maxima. WAND's test, whether the maxima of the
+terms that are there could reach the k-th best score so far (the threshold), is made
+for a whole query at once on each level: short lists are added up; the blocks with the
+highest bounds give a first threshold; blocks, then parts, whose bound is lower are
+skipped; the parts that are left are scored from the highest bound down while the
+threshold rises, until no bound reaches it. Bounds are 32-bit floats with a margin
+above their rounding; the documents that reach the threshold are scored in 64 bits
+from their own postings. Scores are rounded to 9 decimals, ties go to the smaller doc_id.
 
 Plan: documents are tokenised once into index rows in the shared folder; document
 frequencies are summed by term; queries get their weights by a join on the term (AQE
 splits hot terms) and equal queries become one, so a group of copies asks once. Blocks
-of queries of bounded size are broadcast in turn to all shards, which write their top
-k; these are merged by query.
+of queries (``PAIRS`` term weights, 16 bytes each) are broadcast in turn to all shards,
+which write their top k; these are merged by query. Memory: one shard and one block
+of queries in a task, one block in the driver. Work grows as queries times blocks.
 
 Defined results: null or empty texts and texts without words are found by nobody and
-ask nothing; of rows that repeat a doc_id the smallest text asks; the asking document
-is among the hits; empty table = no rows; extra columns are ignored.
+ask nothing, but count as documents; a null doc_id is found as null, before any other
+of equal score, and asks nothing; rows that repeat a doc_id ask once for each different
+text (``query_key`` tells them apart) and are found each; the asking document is among
+the hits; a very long text is one document of a shard like any other; empty table = no
+rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +48,12 @@ from pyspark.sql import functions as F
 from .common import cut, scratch, table, text_of
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD, BLOCK, DENSE, AHEAD = 16_384, 64, 16, 4
+POSTINGS, BLOCK, PART, DENSE = 4_000_000, 64, 8, 16
+#: Above the rounding of bounds, as a share and in all.
+MARGIN = 1e-5
+NO_ID = -(1 << 63)
 #: (term, weight) pairs of the queries that are broadcast at once: 16 bytes each.
-PAIRS = 2_000_000
+PAIRS = 4_000_000
 _WORD = re.compile(r"\w+")
 
 INDEX = "docs bigint, length bigint, doc_ids binary, lengths binary, terms binary, sizes binary, places binary, counts binary"
@@ -53,66 +65,85 @@ def words(text: str) -> Counter:
     return Counter({xxhash.xxh64_intdigest(w) - (1 << 63): n for w, n in Counter(_WORD.findall(text.lower())).items()})
 
 
-def _index(doc_ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _index(docs: int, doc_ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """docs: documents seen, doc_ids and texts of those with words."""
     n = [len(t) for t, _ in texts]
-    term, count = (np.concatenate(x) for x in zip(*texts, strict=True))
+    term, count = (np.concatenate([x[i] for x in texts]) if texts else np.zeros(0, t) for i, t in ((0, np.int64), (1, np.int32)))
     place = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     order = np.argsort(term, kind="stable")
     terms, sizes = np.unique(term, return_counts=True)
     lengths = np.array([c.sum(dtype=np.int64) for _, c in texts], np.int64)
-    row = [len(texts), int(lengths.sum()), np.array(doc_ids, np.int64), lengths, terms, sizes.astype(np.int32), place[order], count[order]]
+    row = [docs, int(lengths.sum()), np.array(doc_ids, np.int64), lengths, terms, sizes.astype(np.int32), place[order], count[order]]
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
 
-def write_index(docs: DataFrame, path: str, shard: int = SHARD) -> None:
+def write_index(docs: DataFrame, path: str, postings: int = POSTINGS) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = [], []
+        seen, held, ids, texts = 0, 0, [], []
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                seen += 1
                 if t := words(text.as_py()):
                     ids.append(doc_id.as_py())
                     # 12 bytes a word; as a Counter the documents of a shard took a tenfold.
                     texts.append((np.fromiter(t, np.int64, len(t)), np.fromiter(t.values(), np.int32, len(t))))
-                if len(ids) >= shard:
-                    yield _index(ids, texts)
-                    ids, texts = [], []
-        if ids:
-            yield _index(ids, texts)
+                    held += len(t)
+                if held >= postings:
+                    yield _index(seen, ids, texts)
+                    seen, held, ids, texts = 0, 0, [], []
+        if seen:
+            yield _index(seen, ids, texts)
 
-    docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, INDEX).write.parquet(path)
+    ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id")
+    docs.select(ids, text_of().alias("text")).mapInArrow(run, INDEX).write.parquet(path)
 
 
 class Shard:
-    """The postings of a shard with impacts and block maxima, for given statistics.
+    """The postings of a shard by term and by document, with impacts and block maxima,
+    for given statistics. ``scored`` counts the documents that were scored.
 
     Terms of more than 1 / DENSE of the documents also have their impacts as a row over
-    all documents; a document has few such terms, so the rows are at most DENSE times
-    the postings."""
+    all documents; the rows are at most DENSE times the postings."""
 
-    def __init__(self, row: dict, mean: float, block: int = BLOCK):
+    def __init__(self, row: dict, mean: float, block: int = BLOCK, part: int = PART):
         get = lambda k, t: np.frombuffer(row[k], t)
         self.ids, lengths = get("doc_ids", np.int64), get("lengths", np.int64)
         self.terms, sizes = get("terms", np.int64), get("sizes", np.int32)
-        self.places, count = get("places", np.int32), get("counts", np.int32).astype(float)
-        self.impact = count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[self.places] / mean))
+        place, count = get("places", np.int32), get("counts", np.int32).astype(float)
+        self.impact = count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[place] / mean))
         self.first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         n = len(self.ids)
-        self.block, blocks = block, -(-n // block)
+        self.block, self.part, self.blocks, self.scored = block, part, -(-n // block), 0
         dense = np.flatnonzero(sizes * DENSE > n)
         self.row = np.full(len(self.terms), -1, np.int64)
         self.row[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), blocks * block))
+        # Alike documents come into the same blocks: by strongest common term, then length.
+        best, strongest = np.zeros(n, np.float32), np.full(n, -1, np.int32)
         for i, t in enumerate(dense):
             at = slice(self.first[t], self.first[t + 1])
-            self.dense[i, self.places[at]] = self.impact[at]
-        # Alike documents come into the same blocks: by strongest common term, then length.
-        order = np.lexsort((lengths, self.dense[:, :n].argmax(axis=0))) if len(dense) else np.arange(n)
+            better = self.impact[at] > best[place[at]]
+            p = place[at][better]
+            best[p], strongest[p] = self.impact[at][better], i
+        order = np.lexsort((lengths, strongest))
         new = np.empty(n, np.int32)
         new[order] = np.arange(n)
-        self.ids, self.places = self.ids[order], new[self.places]
-        self.dense[:, :n] = self.dense[:, order]
-        self.most = self.dense.reshape(len(dense), blocks, block).max(axis=2)
+        self.ids, self.places = self.ids[order], new[place]
+        wide = np.zeros((len(dense), self.blocks * block), np.float32)
+        for i, t in enumerate(dense):
+            at = slice(self.first[t], self.first[t + 1])
+            wide[i, self.places[at]] = self.impact[at]
+        self.in_block = wide.reshape(len(dense), self.blocks, block)
+        self.in_part = wide.reshape(len(dense), self.blocks * (block // part), part)
+        parts = self.in_part.max(axis=2)
+        self.part_most = parts.reshape(len(dense), self.blocks, block // part)
+        self.block_most = self.part_most.max(axis=2)
+        # The same postings by document, for exact scores: terms ascending in each.
+        by_doc = np.argsort(self.places, kind="stable")
+        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)[by_doc]
+        self.doc_impact = self.impact[by_doc]
+        self.doc_first = np.r_[0, np.cumsum(np.bincount(self.places, minlength=n))]
+        self.weight = np.zeros(len(self.terms))
 
     @staticmethod
     def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,41 +153,85 @@ class Shard:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the best documents; terms ascending."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        if not len(self.terms):
+            return nothing
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         here = self.terms[at] == terms
         at, weights = at[here], weights[here]
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        n, row = len(self.ids), self.row[at]
-        rare, common = row < 0, row[row >= 0]
+            return nothing
+        n, row, per = len(self.ids), self.row[at], self.block // self.part
+        rare, rows, w = row < 0, row[row >= 0], weights[row >= 0].astype(np.float32)
         a, b = self.first[at[rare]], self.first[at[rare] + 1]
-        post, w = self._ranges(a, b), weights[row >= 0]
-        sure = np.bincount(self.places[post], np.repeat(weights[rare], b - a) * self.impact[post], n)
-        bound = sure + np.repeat(w @ self.most[common], self.block)[:n]
-
-        def full(some: np.ndarray) -> np.ndarray:
-            return np.round(sure[some] + w @ self.dense[np.ix_(common, some)], 9)
-
-        begin = np.argpartition(-bound, AHEAD * top)[: AHEAD * top] if n > AHEAD * top else np.arange(n)
-        score = full(begin)
-        least = np.partition(score, -top)[-top] if len(begin) > top else 0.0
-        rest = bound >= least - 1e-8
-        rest[begin] = False
-        rest = np.flatnonzero(rest)
-        some, score = np.r_[begin, rest], np.r_[score, full(rest)]
-        some, score = some[score > 0], score[score > 0]
-        ids = self.ids[some]
-        best = np.lexsort((ids, -score))[:top]
-        return ids[best], score[best]
-
-
-def search(docs: DataFrame, asking: DataFrame, top: int = TOP, shard: int = SHARD, pairs: int = PAIRS) -> DataFrame:
-    """query_id, rank, doc_id, score: the top documents of docs for each row of asking
-    (doc_id, text)."""
+        post = self._ranges(a, b)
+        sure = np.bincount(self.places[post], np.repeat(weights[rare], b - a) * self.impact[post], self.blocks * self.block)
+        top_of = sure.reshape(-1, per, self.part).max(axis=2)
+        bound = self._raised(top_of.max(axis=1) + np.einsum("i,ij->j", w, self.block_most[rows]))
+
+        found_at, found, least = [np.zeros(0, np.int64)], [np.zeros(0)], 0.0
+
+        def score(chunk: np.ndarray, wide: np.ndarray, size: int) -> None:
+            """Scores documents of some blocks or parts, and raises the threshold."""
+            nonlocal least
+            some = (chunk[:, None] * size + np.arange(size)).ravel()
+            got = sure[some] + np.einsum("i,ijk->jk", w, wide[rows[:, None], chunk]).ravel()
+            self.scored += len(some)
+            keep = got > 0
+            if least:
+                keep &= got >= least - MARGIN * (1 + least)
+            found_at.append(some[keep])
+            found.append(got[keep])
+            if sum(map(len, found)) >= top:
+                best = np.concatenate(found)
+                least = max(least, float(np.partition(best, -top)[-top]))
+                if len(best) > 8 * top:
+                    where = np.concatenate(found_at)
+                    keep = best >= least - MARGIN * (1 + least)
+                    found_at[:], found[:] = [where[keep]], [best[keep]]
+
+        ahead = max(2, -(-2 * top // self.block))
+        begin = np.argpartition(-bound, ahead)[:ahead] if self.blocks > ahead else np.arange(self.blocks)
+        score(begin, self.in_block, self.block)
+        bound[begin] = -1.0
+        alive = np.flatnonzero(bound >= max(least, 1e-12))
+        if len(alive):
+            bound = self._raised(top_of[alive] + np.einsum("i,ijk->jk", w, self.part_most[rows[:, None], alive])).ravel()
+            number = (alive[:, None] * per + np.arange(per)).ravel()
+            left = bound >= max(least, 1e-12)
+            number, bound = number[left], bound[left]
+            order = np.argsort(-bound)
+            number, bound = number[order], bound[order]
+            lo, size = 0, 32
+            while lo < len(number) and bound[lo] >= least:
+                hi = min(lo + size, int(np.searchsorted(-bound, -least, "right")))
+                score(number[lo:hi], self.in_part, self.part)
+                lo, size = hi, size * 4
+        some = np.concatenate(found_at)
+        some = np.sort(some[np.concatenate(found) >= least - MARGIN * (1 + least)])
+        # Exact scores of what reaches the threshold, from the documents' own postings.
+        self.weight[at] = weights
+        a, b = self.doc_first[some], self.doc_first[some + 1]
+        own = self._ranges(a, b)
+        exact = np.bincount(np.repeat(np.arange(len(some)), b - a), self.weight[self.doc_term[own]] * self.doc_impact[own], len(some))
+        self.weight[at] = 0.0
+        exact, ids = np.round(exact, 9), self.ids[some]
+        best = np.lexsort((ids, -exact))[:top]
+        best = best[exact[best] > 0]
+        return ids[best], exact[best]
+
+    @staticmethod
+    def _raised(bound: np.ndarray) -> np.ndarray:
+        return bound * (1 + MARGIN) + MARGIN * (bound > 0)
+
+
+def search(docs: DataFrame, asking: DataFrame, top: int = TOP, postings: int = POSTINGS, pairs: int = PAIRS) -> DataFrame:
+    """query_id, query_key, rank, doc_id, score: the top documents of docs for each
+    different row of asking (doc_id, text)."""
     spark = docs.sparkSession
     path = scratch(spark, "bm25")
-    write_index(docs, path, shard)
+    write_index(docs, path, postings)
     index = spark.read.schema(INDEX).parquet(path)
     docs_, length = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
 
@@ -173,10 +248,10 @@ def search(docs: DataFrame, asking: DataFrame, top: int = TOP, shard: int = SHAR
                     same = xxhash.xxh64_intdigest(np.array([x for k in keys for x in (k, t[k])], np.int64).tobytes()) - (1 << 63)
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(t), pa.int64()), pa.array([same] * len(t), pa.int64()), pa.array(keys, pa.int64()), pa.array([t[k] for k in keys], pa.int64())], names=["query_id", "query", "term", "n"])
 
-    one = asking.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("query_id")).agg(F.min(text_of()).alias("text"))
-    asked = cut(one.mapInArrow(ask, "query_id bigint, query bigint, term bigint, n bigint"))
+    rows = asking.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("query_id"), text_of().alias("text"))
+    asked = cut(rows.mapInArrow(ask, "query_id bigint, query bigint, term bigint, n bigint"))
     members = asked.select("query_id", "query").distinct()
-    different = asked.join(members.groupBy("query").agg(F.min("query_id").alias("query_id")), ["query", "query_id"]).select("query", "term", "n")
+    different = asked.join(members.groupBy("query").agg(F.min("query_id").alias("query_id")), ["query", "query_id"]).select("query", "term", "n").distinct()
     df = index.select("terms", "sizes").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.col("n") * F.log(1 + (F.lit(docs_) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = different.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("p"))
@@ -209,7 +284,8 @@ def search(docs: DataFrame, asking: DataFrame, top: int = TOP, shard: int = SHAR
     hits = spark.read.schema(HITS).parquet(found)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     top_hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return members.join(top_hits, "query").select("query_id", "rank", "doc_id", "score")
+    found_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return members.join(top_hits, "query").select("query_id", F.col("query").alias("query_key"), "rank", found_id, "score")
 
 
 def op7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
