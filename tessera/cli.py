@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import __name__ as NAME
@@ -87,13 +88,13 @@ def _experiment(spark: SparkSession, a: argparse.Namespace) -> None:
     }
     factor, fields = cfg["signal"]["name"], {"command": a.command, "config": a.config, "parameter": a.parameter, "values": ",".join(map(str, a.values))}
     if a.command == "sweep-signal":
-        results = E.sweep(panel, factor, name, a.values, **common).orderBy("value").cache()
+        results = E.sweep(panel, factor, name, a.values, construction=cfg.get("portfolio", {}).get("construction", "long_only"), **common).withColumn("parameter_name", F.lit(a.parameter)).orderBy("parameter_value").cache()
         parts = {"Results": results, "Best": E.rank_sweep(results)}
     else:
-        results = E.walk_forward(panel, factor, name, a.values, train=a.train_periods, test=a.test_periods, metric=a.selection_metric, **common).orderBy("fold").cache()
+        results = E.walk_forward(panel, factor, name, a.values, train=a.train_periods, test=a.test_periods, metric=a.selection_metric, **common).withColumn("parameter_name", F.lit(a.parameter)).orderBy("fold_index").cache()
         parts = {"Folds": results}
         fields |= {"selection_metric": a.selection_metric, "train_periods": a.train_periods, "test_periods": a.test_periods}
-        returns = [r.test_return for r in results.select("test_return").collect() if r.test_return is not None]  # one a fold
+        returns = [r[0] for r in results.select("test_cumulative_return").collect() if r[0] is not None]  # one a fold
         fields["overall_cumulative_return"] = math.prod(1 + x for x in returns) - 1 if returns else None
     text = R.report_text(a.command, parts)
     fields["row_count"] = results.count()

@@ -50,6 +50,13 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
+def strict_number(column: str) -> Column:
+    """A column as numbers: NULL and NaN are missing, what is infinite or no number is an error."""
+    x = F.expr(f"try_cast(`{column}` AS double)")
+    bad = (F.col(column).isNotNull() & x.isNull()) | (F.abs(x) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"invalid number in {column}")).cast("double")).otherwise(F.when(~F.isnan(x), x))
+
+
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     return F.round(x, digits) + F.lit(0.0)

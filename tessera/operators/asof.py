@@ -2,9 +2,12 @@
 
 A record becomes available on a session of the reference calendar: the first one on
 or after its effective date, or strictly after its release date. It is valid until the
-next record of the same key becomes available, so the join is an equi-join on the
-symbol with a range as residual: each row meets one record at most, and a legitimate
-NULL of the newest record wins over older values.
+next record of its series becomes available, and a legitimate NULL of the newest record
+wins over older values. Records are put among the rows of the panel and the last one
+so far is carried forward by a window over the symbol, for all series at once: one
+exchange by symbol, which the panel's other windows share, and work in proportion to
+rows and records. Two records of a series that become available on one session are an
+error of the action that reads the result.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.panel import day
 
 
-
-
 def slug(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_")
 
@@ -40,36 +41,41 @@ def available_on(records: DataFrame, when: str, sessions: DataFrame, strict: boo
     return records.join(found, records[when] == found["d"]).drop("d")
 
 
-def attach(panel: DataFrame, records: DataFrame, values: dict[str, Column | str], when: str, sessions: DataFrame | None = None, strict: bool = False, key: list[str] | None = None) -> DataFrame:
+def attach(panel: DataFrame, records: DataFrame, values: dict[str, Column | str], when: str, sessions: DataFrame | None = None, strict: bool = False, series: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """panel with the values (output column -> expression over records) of the record
-    that is valid on each row's date. key: more columns that tell series apart are not
-    joined here; filter records to one series first."""
-    for c in values:
+    that is valid on each row's date. With series (a column that tells series apart) and
+    names (series -> output column), the one value is given for each series."""
+    out = list(names.values()) if names else list(values)
+    for c in out:
         if c in panel.columns:
             raise ValueError(f"column exists already: {c}")
     sessions = panel.select("date").distinct() if sessions is None else sessions
-    at = available_on(records, when, sessions, strict)
-    w = Window.partitionBy("symbol").orderBy("available_date")
-    spans = at.select(F.col("symbol").alias("__s"), F.col("available_date").alias("__from"), F.lead("available_date").over(w).alias("__to"), *[(F.col(x) if isinstance(x, str) else x).alias(c) for c, x in values.items()])
-    on = (F.col("symbol") == F.col("__s")) & (F.col("date") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("date") < F.col("__to")))
-    return panel.join(spans, on, "left").drop("__s", "__from", "__to")
-
-
-def conflicts(records: DataFrame, when: str, sessions: DataFrame, strict: bool, keys: list[str]) -> None:
-    """An error if two records of a key become available on one session."""
-    at = available_on(records, when, sessions, strict)
-    if at.groupBy(*keys, "available_date").count().where("count > 1").limit(1).collect():
-        raise ValueError("two records become available on the same session")
+    if names:
+        records = records.where(F.col(series).isin(*names))
+    at = available_on(records.where(F.col("symbol").isNotNull()), when, sessions, strict)
+    held = F.struct(*[(F.col(x) if isinstance(x, str) else x).alias(f"v{i}") for i, x in enumerate(values.values())])
+    name = F.col(series).cast("string") if series else F.lit("")
+    news = at.select("symbol", F.col("available_date").alias("date"), held.alias("__v"), name.alias("__n"))
+    both = panel.unionByName(news, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("date", F.col("__n").asc_nulls_last())  # records of a date before its rows
+    twice = F.lag(F.struct("date", "__n")).over(w) == F.struct("date", "__n")
+    error = F.raise_error(F.concat(F.lit(f"records of {', '.join(out)} become available on the same session: "), F.col("symbol"), F.lit(" "), F.col("date").cast("string")))
+    both = both.withColumn("__v", F.when(F.col("__n").isNotNull() & twice, error.cast(both.schema["__v"].dataType)).otherwise(F.col("__v")))
+    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda n: F.last(F.col("__v") if n is None else F.when(F.col("__n") == n, F.col("__v")), ignorenulls=True).over(past)
+    found = {f"__l{k}": last(n) for k, n in enumerate(names or [None])}
+    both = both.withColumns(found).where(F.col("__n").isNull())
+    pick = [F.col("__l0")[f"v{i}"].alias(c) for i, c in enumerate(out)] if not names else [F.col(f"__l{k}")["v0"].alias(c) for k, c in enumerate(out)]
+    return both.select(*[F.col(f"`{c}`") for c in panel.columns], *pick)
 
 
 def attach_series(panel: DataFrame, records: DataFrame, name: str, names: list[str], value: str, prefix: str, when: str, sessions: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """One column for each named series of a long table (fundamentals, memberships):
-    records are pivoted into one interval table a series and joined by symbol."""
+    """One column for each named series of a long table (fundamentals, memberships)."""
+    if not names:
+        return panel
     if len({slug(n) for n in names}) < len(names):
         raise ValueError("names give the same column")
-    for n in names:
-        panel = attach(panel, records.where(F.col(name) == n), {f"{prefix}_{slug(n)}": value}, when, sessions, strict)
-    return panel
+    return attach(panel, records, {value: value}, when, sessions, strict, name, {n: f"{prefix}_{slug(n)}" for n in names})
 
 
 def attach_fundamentals(panel, fundamentals, metrics: list[str], sessions=None) -> DataFrame:
@@ -114,6 +120,23 @@ def attach_symbol_metadata(panel: DataFrame, metadata: DataFrame) -> DataFrame:
     return df
 
 
+def listing_days(panel: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """panel with listing_history_days: sessions from the listing date (its first session
+    included) to the row's date; without listing dates, rows of the symbol so far. A
+    row's date that is no session has none."""
+    if "listing_date" not in panel.columns:
+        return panel.withColumn("listing_history_days", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+    sessions = (panel if sessions is None else sessions).select(F.col("date").alias("d")).distinct()
+    days = sessions.select("d", F.lit(1).alias("s")).unionByName(panel.select(F.explode(F.array("date", "listing_date")).alias("d"), F.lit(0).alias("s")).distinct())
+    w = Window.orderBy("d")  # one row a date: bounded by the calendar
+    before = F.sum("s").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.max("s").over(Window.partitionBy("d"))
+    at = days.withColumns({"n": before}).groupBy("d").agg(F.max("n").alias("n"), F.max("s").alias("s"))
+    now = at.select(F.col("d").alias("__d"), F.when(F.col("s") == 1, F.col("n")).alias("__now"))
+    first = at.select(F.col("d").alias("__f"), F.col("n").alias("__first"))
+    df = panel.join(now, panel["date"] == now["__d"], "left").join(first, F.col("listing_date") == F.col("__f"), "left")
+    return df.withColumn("listing_history_days", F.col("__now") - F.col("__first") + 1).drop("__d", "__now", "__f", "__first")
+
+
 def growth_events(fundamentals: DataFrame) -> DataFrame:
     """symbol, metric_name, release_date, growth: current over prior period less 1, as
     an event of the current release. Pairs that are not valid give no event."""

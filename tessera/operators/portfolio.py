@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.panel import day
+from ..functions.panel import day, strict_number
 
 TOLERANCE = 1e-12
 
@@ -72,9 +72,9 @@ def _group_cap(df: DataFrame, weight: str, group: str, cap: float) -> DataFrame:
 
 
 def _one_bound(df: DataFrame, weight: str, bound: ExposureBound) -> DataFrame:
-    """Shrinks what adds to an exposure beyond a bound; a date still beyond it is empty."""
-    x, w = F.coalesce(F.col(bound.column).cast("double"), F.lit(0.0)), day()
-    df = df.withColumn(weight, F.when(F.col(bound.column).isNotNull(), F.col(weight)).otherwise(0.0))
+    """Shrinks what adds to an exposure beyond a bound, which one bound always reaches."""
+    x, w = F.coalesce(strict_number(bound.column), F.lit(0.0)), day()
+    df = df.withColumn(weight, F.when(strict_number(bound.column).isNotNull(), F.col(weight)).otherwise(0.0))
     for limit, sign in ((bound.maximum, 1), (bound.minimum, -1)):
         if limit is None:
             continue
@@ -89,11 +89,12 @@ def _one_bound(df: DataFrame, weight: str, bound: ExposureBound) -> DataFrame:
 
 def _many_bounds(df: DataFrame, weight: str, bounds: list[ExposureBound]) -> DataFrame:
     """Sweeps over several bounds couple rows of a date in turns: a grouped map by date."""
+    df = df.withColumns({f"__x{i}": strict_number(b.column) for i, b in enumerate(bounds)})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         w = g[weight].to_numpy(float).copy()
-        xs = [g[b.column].to_numpy(float) for b in bounds]
+        xs = [g[f"__x{i}"].to_numpy(float) for i in range(len(bounds))]
         for x in xs:
             w[~np.isfinite(x)] = 0.0
         xs = [np.nan_to_num(x) for x in xs]
@@ -114,7 +115,7 @@ def _many_bounds(df: DataFrame, weight: str, bounds: list[ExposureBound]) -> Dat
                 w[:] = 0.0
         return g.assign(**{weight: w})
 
-    return df.groupBy("date").applyInPandas(run, schema)
+    return df.groupBy("date").applyInPandas(run, schema).drop(*[f"__x{i}" for i in range(len(bounds))])
 
 
 def _finish(df, weight, group, group_cap, bounds):
@@ -126,15 +127,30 @@ def _finish(df, weight, group, group_cap, bounds):
 
 
 def _cap(max_weight: float | None, cap_column: str | None) -> Column | None:
-    if max_weight is None and cap_column is None:
-        return None
-    a = F.lit(float(max_weight)) if max_weight is not None else None
-    b = F.coalesce(F.col(cap_column), F.lit(0.0)) if cap_column else None
-    return F.least(a, b) if a is not None and b is not None else (a if b is None else b)
+    """The cap of a row: missing is 0; what is negative or no number is an error."""
+    if max_weight is not None and not 0 < max_weight < float("inf"):
+        raise ValueError("a position cap must be positive and finite")
+    if cap_column is None:
+        return None if max_weight is None else F.lit(float(max_weight))
+    x = F.expr(f"try_cast(`{cap_column}` AS double)")
+    bad = (F.col(cap_column).isNotNull() & x.isNull()) | (x < 0)
+    own = F.when(bad, F.raise_error(F.lit(f"negative or invalid cap in {cap_column}")).cast("double")).otherwise(F.when(~F.isnan(x), x).otherwise(0.0))
+    return own if max_weight is None else F.least(F.lit(float(max_weight)), own)
+
+
+def _checked(exposures: list[float], top: list[int], max_weight, group, group_cap) -> None:
+    if any(not 0 < e < float("inf") for e in exposures) or any(n < 1 for n in top):
+        raise ValueError("exposures must be positive and finite, counts at least 1")
+    if (group is None) != (group_cap is None):
+        raise ValueError("a group cap needs a group column, and the reverse")
+    for limit in (max_weight, group_cap):
+        if limit is not None and not 0 < limit <= min(exposures):
+            raise ValueError("caps must be positive and not above the exposure")
 
 
 def long_only(df, score, top_n, weighting="equal", exposure=1.0, max_weight=None, cap_column=None, group=None, group_cap=None, bounds=(), output="portfolio_weight") -> DataFrame:
     """The top_n scores of each date (ties by symbol; fewer is fine); others weigh 0."""
+    _checked([exposure], [top_n], max_weight, group, group_cap)
     x = F.col(score)
     df = df.withColumn("__pick", F.coalesce(_pick(x, True, x.isNotNull()) <= top_n, F.lit(False)))
     df = _side(df, "__pick", x, weighting, exposure, _cap(max_weight, cap_column), True, output).drop("__pick")
@@ -144,6 +160,7 @@ def long_only(df, score, top_n, weighting="equal", exposure=1.0, max_weight=None
 def long_short(df, score, top_n, bottom_n, weighting="equal", long_exposure=1.0, short_exposure=1.0, max_weight=None, cap_column=None, group=None, group_cap=None, bounds=(), output="portfolio_weight") -> DataFrame:
     """Longs by score from the top, shorts from the bottom of the rest; a date with
     fewer than top_n + bottom_n scores is empty."""
+    _checked([long_exposure, short_exposure], [top_n, bottom_n], max_weight, group, group_cap)
     x, cap = F.col(score), _cap(max_weight, cap_column)
     enough = F.count(x).over(day()) >= top_n + bottom_n
     df = df.withColumn("__pick", F.coalesce((_pick(x, True, x.isNotNull()) <= top_n) & enough, F.lit(False)))

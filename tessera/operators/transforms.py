@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.panel import add, clip, day
+from ..functions.panel import add, clip, day, strict_number
 
 
 def _group(group: str | None):
@@ -75,13 +75,15 @@ def residualize(df: DataFrame, score: str, exposures: list[str]) -> DataFrame:
     if score in exposures or name in df.columns:
         raise ValueError("a score is no exposure of itself, and the output must be new")
     if len(exposures) == 1:
-        e = F.col(exposures[0])
+        e = strict_number(exposures[0])
         y, x = F.when(e.isNotNull(), F.col(score)), F.when(F.col(score).isNotNull(), e)
         w = day()
         beta = F.covar_samp(y, x).over(w) / F.var_samp(x).over(w)
         ok = (F.count(y).over(w) >= 3) & (F.var_samp(x).over(w) > 0) & y.isNotNull()
         return add(df, **{name: F.when(ok, y - F.avg(y).over(w) - F.when(F.var_samp(x).over(w) > 0, beta) * (x - F.avg(x).over(w)))})
-    return df.groupBy("date").applyInPandas(_regress(score, exposures, name), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` double")
+    own = {f"__x{i}": strict_number(c) for i, c in enumerate(exposures)}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", {c} double" for c in own) + f", `{name}` double"
+    return df.withColumns(own).groupBy("date").applyInPandas(_regress(score, list(own), name), schema).drop(*own)
 
 
 def _regress(score: str, exposures: list[str], name: str):

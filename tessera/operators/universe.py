@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.panel import full, rolling, sym
-from .asof import slug
+from .asof import listing_days, slug
 
 
 @dataclass(frozen=True)
@@ -24,8 +24,9 @@ class UniverseRules:
     lag: int = 1
 
 
-def apply_universe(df: DataFrame, rules: UniverseRules) -> DataFrame:
-    """Adds each rule's lagged value and passes_* flag, is_universe_eligible and
+def apply_universe(df: DataFrame, rules: UniverseRules, sessions: DataFrame | None = None) -> DataFrame:
+    """Listing history counts sessions from the listing date where the panel has one (of
+    the calendar, or of the panel), else rows. Adds each rule's lagged value and passes_* flag, is_universe_eligible and
     universe_exclusion_reason (';'-joined, in the order of the rules). A missing
     value passes nothing. All values are those of `lag` rows before."""
     w = sym()
@@ -34,7 +35,8 @@ def apply_universe(df: DataFrame, rules: UniverseRules) -> DataFrame:
     tests: list = []  # (flag, value column, threshold, reason if missing, reason if below)
     lagged = lambda c: F.lag(c, rules.lag).over(w)
     if rules.min_listing_days is not None:
-        values["universe_listing_days"] = F.row_number().over(w) - rules.lag
+        df = listing_days(df, sessions)
+        values["universe_listing_days"] = lagged("listing_history_days")
         tests.append(("passes_listing_history", "universe_listing_days", rules.min_listing_days, None, "insufficient_listing_history"))
     if rules.min_price is not None:
         values["universe_lagged_close"] = lagged("close")
@@ -72,7 +74,7 @@ def apply_universe(df: DataFrame, rules: UniverseRules) -> DataFrame:
         reasons += [F.when(F.col("__known") & v.isNull(), F.lit(missing)), F.when(F.col("__known") & ~v, F.lit(no))]
         passed = passed & out[flag]
     out |= {"is_universe_eligible": passed, "universe_exclusion_reason": F.concat_ws(";", *reasons)}
-    return df.withColumns(out).drop("__known", "__av", "__adv", *["__l_" + c for c, *_ in flags])
+    return df.withColumns(out).drop("__known", "__av", "__adv", "listing_history_days", *["__l_" + c for c, *_ in flags])
 
 
 def mask_signal(df: DataFrame, signal: str) -> DataFrame:

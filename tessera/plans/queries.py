@@ -241,7 +241,12 @@ def _chain(s, d):
     return out(df.withColumn("signal", F.col(name)), "date", "symbol", "signal")
 
 
-query("residualize_many")(lambda s, d: out(T.residualize(signal_panel(s, d).withColumns({"lv": F.ln("volume"), "lc": F.ln("close")}), M, ["lv", "lc"]), "date", "symbol", f"{M}_residualized"))
+# Normal equations of two exposures, from same-date moments of complete rows.
+_MOM = ", ".join(f"{f} {_D} AS {n}" for n, f in {"n": "count(y)", "my": "avg(y)", "ma": "avg(a)", "mb": "avg(b)", "va": "var_samp(a)", "vb": "var_samp(b)", "cab": "covar_samp(a, b)", "cay": "covar_samp(a, y)", "cby": "covar_samp(b, y)"}.items())
+query("residualize_many", SQL + f""", q AS (SELECT date, symbol, m2 AS y, CASE WHEN m2 IS NOT NULL THEN lv END AS a, CASE WHEN m2 IS NOT NULL THEN ln(close) END AS b FROM p), mo AS (SELECT *, {_MOM} FROM q)
+SELECT date, symbol, {r('CASE WHEN n >= 4 AND va * vb - cab * cab > 1e-12 THEN y - my - (cay * vb - cby * cab) / (va * vb - cab * cab) * (a - ma) - (cby * va - cay * cab) / (va * vb - cab * cab) * (b - mb) END', f'{M}_residualized')} FROM mo""")(
+    lambda s, d: out(T.residualize(signal_panel(s, d).withColumns({"lv": F.ln("volume"), "lc": F.ln("close")}), M, ["lv", "lc"]), "date", "symbol", f"{M}_residualized")
+)
 
 # Factor diagnostics.
 _IC = SQL + """, q AS (SELECT date, symbol, g, big, CASE WHEN f1 IS NOT NULL THEN m2 END AS s, CASE WHEN m2 IS NOT NULL THEN f1 END AS f FROM p),
@@ -305,7 +310,23 @@ query("waterfill", _WF + f" SELECT p.date, p.symbol, {r('CASE WHEN o.s IS NULL T
 query("group_cap", _LO + f" SELECT date, symbol, {r('weight * CASE WHEN sum(weight) OVER (PARTITION BY date, big) > 0.4 THEN 0.4 / sum(weight) OVER (PARTITION BY date, big) ELSE 1 END', W)} FROM lw")(lambda s, d: out(P.long_only(signal_panel(s, d), M, 10, "score", group="big", group_cap=0.4), "date", "symbol", W))
 _OB = _LO + f", e AS (SELECT *, weight * lv AS e, sum(weight * lv) {_D} - 4.5 AS over_, sum(CASE WHEN weight * lv > 0 THEN weight * lv ELSE 0 END) {_D} AS adding FROM lw)"
 query("one_bound", _OB + f" SELECT date, symbol, {r('weight * CASE WHEN over_ > 1e-12 AND e > 0 THEN 1 - least(1, over_ / adding) ELSE 1 END', W)} FROM e")(lambda s, d: out(P.long_only(signal_panel(s, d).withColumn("lv", F.ln("volume")), M, 10, "score", bounds=[P.ExposureBound("lv", maximum=4.5)]), "date", "symbol", W))
-query("multi_bound")(lambda s, d: out(P.long_only(signal_panel(s, d).withColumns({"lv": F.ln("volume"), "lc": F.ln("close")}), M, 10, "score", bounds=[P.ExposureBound("lv", maximum=4.5), P.ExposureBound("lc", maximum=3.5)]), "date", "symbol", W))
+
+
+def _sweeps(bounds: dict[str, float], rounds: int) -> str:
+    """CTEs that shrink what adds to one exposure after the other."""
+    steps, last = [], "m0"
+    for i in range(rounds):
+        for j, (x, most) in enumerate(bounds.items()):
+            e = f"SELECT *, weight * {x} AS e, sum(weight * {x}) {_D} - {most} AS ov, sum(CASE WHEN weight * {x} > 0 THEN weight * {x} ELSE 0 END) {_D} AS ad FROM {last}"
+            last = f"m{i}_{j}"
+            steps.append(f"{last} AS (SELECT date, symbol, lv, lc, weight * CASE WHEN ov > 1e-12 AND e > 0 THEN 1 - least(1, ov / ad) ELSE 1 END AS weight FROM ({e}))")
+    return ", ".join(steps), last
+
+
+_MB, _MB_LAST = _sweeps({"lv": 4.5, "lc": 3.5}, 8)
+query("multi_bound", _LO + f", m0 AS (SELECT date, symbol, lv, ln(close) AS lc, weight FROM lw), {_MB} SELECT date, symbol, {r('weight', W)} FROM {_MB_LAST}")(
+    lambda s, d: out(P.long_only(signal_panel(s, d).withColumns({"lv": F.ln("volume"), "lc": F.ln("close")}), M, 10, "score", bounds=[P.ExposureBound("lv", maximum=4.5), P.ExposureBound("lc", maximum=3.5)]), "date", "symbol", W)
+)
 
 # Backtests.
 _BT = _LO + """, x AS (SELECT date, symbol, close, volume, coalesce(ret, 0) AS ret, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY date), 0) AS tgt FROM lw),
@@ -333,8 +354,27 @@ def result(s, d, settings=BASIC) -> DataFrame:
 query("backtest_basic", _DAILY + _SEL)(lambda s, d: out(result(s, d), *_COLS))
 query("backtest_weekly", _WEEKLY + _SEL)(lambda s, d: out(result(s, d, WEEKLY), *_COLS))
 query("backtest_costs", _COSTS + _SEL)(lambda s, d: out(result(s, d, COSTS), *_COLS))
-query("backtest_symbol_limits")(lambda s, d: out(result(s, d, B.BacktestSettings(commission_bps=5, max_trade_weight=0.05, min_trade_weight=0.005)), *_COLS))
-query("backtest_turnover_cap")(lambda s, d: out(result(s, d, B.BacktestSettings(commission_bps=5, max_turnover=0.5)), *_COLS))
+# Folds as recursive queries: over a symbol's rows, or over dates for all symbols at once.
+_REC = _LO.replace("WITH bars", "WITH RECURSIVE bars", 1) + """, x AS (SELECT date, symbol, coalesce(ret, 0) AS ret, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY date), 0)::DOUBLE AS tgt,
+  row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, dense_rank() OVER (ORDER BY date) AS k FROM lw), """
+_END = """, dl AS (SELECT date, true AS reb, sum(w * ret) AS gross, sum(abs(w - prev)) AS turnover, sum(abs(tgt - prev)) AS target_turnover, sum(abs(w)) AS gross_exposure, count_if(w <> 0)::BIGINT AS holdings, sum(abs(w - prev) * 0.0005) AS cost FROM pv GROUP BY date)"""
+_CLIP = "greatest(-0.05, least(0.05, x.tgt - st.w))"
+_LIMITED = _REC + f"""st AS (SELECT symbol, 0::BIGINT AS i, 0::DOUBLE AS w, 0::DOUBLE AS prev FROM x WHERE i = 1
+  UNION ALL SELECT x.symbol, x.i, st.w + CASE WHEN abs({_CLIP}) < 0.005 THEN 0 ELSE {_CLIP} END, st.w FROM st JOIN x ON x.symbol = st.symbol AND x.i = st.i + 1),
+pv AS (SELECT x.*, st.w, st.prev FROM x JOIN st USING (symbol, i))""" + _END
+_TOTAL = "sum(abs(x.tgt - st.w)) OVER ()"
+_CAPPED = _REC + f"""st AS (SELECT symbol, 0::BIGINT AS k, 0::DOUBLE AS w, 0::DOUBLE AS prev FROM x WHERE i = 1
+  UNION ALL SELECT st.symbol, st.k + 1, st.w + coalesce((x.tgt - st.w) * CASE WHEN {_TOTAL} > 0.5 THEN 0.5 / {_TOTAL} ELSE 1 END, 0), st.w FROM st LEFT JOIN x ON x.symbol = st.symbol AND x.k = st.k + 1 WHERE st.k < (SELECT max(k) FROM x)),
+pv AS (SELECT x.*, st.w, st.prev FROM x JOIN st USING (symbol, k))""" + _END
+LIMITED = B.BacktestSettings(commission_bps=5, max_trade_weight=0.05, min_trade_weight=0.005)
+CAPPED = B.BacktestSettings(commission_bps=5, max_turnover=0.5)
+query("backtest_symbol_limits", _LIMITED + _SEL)(lambda s, d: out(result(s, d, LIMITED), *_COLS))
+query("backtest_turnover_cap", _CAPPED + _SEL)(lambda s, d: out(result(s, d, CAPPED), *_COLS))
+_EXEC = _CAPPED + ", ct AS (SELECT *, count(CASE WHEN abs(turnover - target_turnover) > 1e-12 THEN 1 END) OVER () AS limited FROM dl)"
+query("execution_summary", _EXEC + f""" SELECT count(*) AS periods, count_if(reb)::BIGINT AS rebalance_dates, any_value(limited) AS turnover_limit_dates, {r('avg(target_turnover)', 'average_target_turnover')}, {r('avg(turnover)', 'average_realized_turnover')},
+{r('avg(gross_exposure)', 'average_gross_exposure')}, {r('avg(holdings)', 'average_realized_holdings')}, {r('sum(cost)', 'total_commission_cost')}, {r('sum(cost)', 'total_transaction_cost')} FROM ct""")(
+    lambda s, d: out(A.execution_summary(result(s, d, CAPPED)), "periods", "rebalance_dates", "turnover_limit_dates", "average_target_turnover", "average_realized_turnover", "average_gross_exposure", "average_realized_holdings", "total_commission_cost", "total_transaction_cost")
+)
 _ORD = _DAILY + f" SELECT date, symbol, CASE WHEN tgt > prev THEN 'buy' WHEN tgt < prev THEN 'sell' ELSE 'hold' END AS side, {r('prev', 'start_weight')}, {r('tgt', 'target_weight')}, {r('tgt - prev', 'desired_trade')}, {r('w - prev', 'executed_trade')}, {r('(tgt - prev) - (w - prev)', 'unfilled_trade')} FROM pv WHERE abs(tgt - prev) > 0.001 OR abs(w - prev) > 0.001"
 query("orders", _ORD)(lambda s, d: out(B.orders(B.backtest_panel(book(s, d), BASIC), 0.001)))
 query("ledger", _DAILY + f" SELECT date, symbol, CASE WHEN w > 0 THEN 'long' WHEN w < 0 THEN 'short' ELSE 'flat' END AS position_side, {r('prev', 'start_weight')}, {r('w', 'end_weight')}, {r('w * ret', 'gross_return_contribution')} FROM pv WHERE abs(prev) > 0 OR abs(w) > 0")(lambda s, d: out(B.ledger(B.backtest_panel(book(s, d), BASIC)), "date", "symbol", "position_side", "start_weight", "end_weight", "gross_return_contribution"))
@@ -348,22 +388,63 @@ query("perf_summary", _NAV + f" SELECT {_PERF} FROM dd")(lambda s, d: out(A.perf
 
 _REL = _NAV + ", rl AS (SELECT nv.*, bench.b FROM nv JOIN bench USING (date))"
 _attached = lambda s, d: B.attach_benchmark(result(s, d), S.benchmark_returns(panel(s, d)))
-query("relative_perf", _REL + f" SELECT {r('product(1 + b) - 1', 'benchmark_cumulative_return')}, {r('product(1 + x) / product(1 + b) - 1', 'excess_cumulative_return')}, {r('avg(x - b)', 'average_active_return')}, {r('stddev_samp(x - b) * sqrt(252)', 'tracking_error')}, {r('avg(x - b) / nullif(stddev_samp(x - b), 0) * sqrt(252)', 'information_ratio')} FROM rl")(lambda s, d: out(A.relative_performance(_attached(s, d))))
+_AN = lambda x: f"power(product(1 + {x}), 252.0 / count(*)) - 1"
+query("relative_perf", _REL + f""" SELECT count(*) AS periods, {r('product(1 + b) - 1', 'benchmark_cumulative_return')}, {r(_AN('b'), 'benchmark_annualized_return')}, {r('product(1 + x) / product(1 + b) - 1', 'excess_cumulative_return')},
+{r('power(product(1 + x) / product(1 + b), 252.0 / count(*)) - 1', 'annualized_excess_return')}, {r('avg(x - b)', 'average_daily_excess_return')}, {r('stddev_samp(x - b) * sqrt(252)', 'tracking_error')}, {r('avg(x - b) / nullif(stddev_samp(x - b), 0) * sqrt(252)', 'information_ratio')}, {r('avg((x > b)::INT)', 'excess_hit_rate')} FROM rl""")(
+    lambda s, d: out(A.relative_performance(_attached(s, d)))
+)
 query("benchmark_attach", _REL + f" SELECT date, {r('x - b', 'excess_return')}, {r('(1 + x) / (1 + b) - 1', 'relative_return')} FROM rl")(lambda s, d: out(_attached(s, d), "date", "excess_return", "relative_return"))
-query("risk_summary", _NAV + f", q AS (SELECT *, quantile_cont(x, 0.05) OVER () AS v FROM nv) SELECT {r('stddev_samp(x) * sqrt(252)', 'annualized_volatility')}, {r('sqrt(avg(least(x, 0) ** 2)) * sqrt(252)', 'downside_volatility')}, {r('any_value(v)', 'value_at_risk')}, {r('avg(CASE WHEN x <= v THEN x END)', 'conditional_value_at_risk')} FROM q")(lambda s, d: out(A.risk(result(s, d))))
+query("risk_summary", _NAV + f", ex2 AS (SELECT date, sum(abs(w)) AS ge, sum(w) AS ne FROM pv GROUP BY date), q AS (SELECT nv.*, ge, ne, quantile_cont(x, 0.05) OVER () AS v FROM nv JOIN ex2 USING (date)) SELECT count(*) AS periods, {r('stddev_samp(x) * sqrt(252)', 'realized_volatility')}, {r('sqrt(avg(least(x, 0) ** 2)) * sqrt(252)', 'downside_volatility')}, {r('any_value(v)', 'value_at_risk')}, {r('avg(CASE WHEN x <= v THEN x END)', 'conditional_value_at_risk')}, {r('0.95::DOUBLE', 'var_confidence')}, {r('avg(ge)', 'average_gross_exposure')}, {r('avg(ne)', 'average_net_exposure')} FROM q")(lambda s, d: out(A.risk(result(s, d))))
 _RB = _REL + f", rb AS (SELECT date, CASE WHEN count(x) {_W5} = 5 THEN covar_samp(x, b) {_W5} / nullif(var_samp(b) {_W5}, 0) END AS rolling_beta, CASE WHEN count(x) {_W5} = 5 THEN covar_samp(x, b) {_W5} / nullif(sqrt(var_samp(b) {_W5}), 0) / nullif(sqrt(var_samp(x) {_W5}), 0) END AS rolling_correlation FROM rl)"
 query("rolling_benchmark_risk", _RB + f" SELECT date, {r('rolling_beta', 'rolling_beta')}, {r('rolling_correlation', 'rolling_correlation')} FROM rb")(lambda s, d: out(A.rolling_benchmark_risk(_attached(s, d), 5)))
 query("rolling_benchmark_summary", _RB + f" SELECT {r('avg(rolling_beta)', 'average_beta')}, {r('avg(rolling_correlation)', 'average_correlation')}, {r('arg_max(rolling_beta, date) FILTER (WHERE rolling_beta IS NOT NULL AND rolling_correlation IS NOT NULL)', 'latest_beta')}, {r('arg_max(rolling_correlation, date) FILTER (WHERE rolling_beta IS NOT NULL AND rolling_correlation IS NOT NULL)', 'latest_correlation')} FROM rb")(lambda s, d: out(A.rolling_benchmark_risk_summary(A.rolling_benchmark_risk(_attached(s, d), 5))))
-_PROF = _LS + ", rk AS (SELECT date, symbol, weight, abs(weight) AS a, row_number() OVER (PARTITION BY date ORDER BY abs(weight) DESC, symbol) AS k FROM z), pf AS (SELECT date, sum(a) AS gross, sum(weight) AS net, CASE WHEN sum(a) > 0 THEN sum(a * a) / sum(a) / sum(a) ELSE 0 END AS hhi, max(a) AS largest, CASE WHEN sum(a) > 0 THEN max(a) / sum(a) ELSE 0 END AS top1, CASE WHEN sum(a) > 0 THEN sum(CASE WHEN k <= 5 THEN a ELSE 0 END) / sum(a) ELSE 0 END AS top5 FROM rk GROUP BY date)"
+_PROF = _LS + """, rk AS (SELECT date, symbol, weight, abs(weight) AS a, row_number() OVER (PARTITION BY date ORDER BY abs(weight) DESC, symbol) AS k FROM z),
+pf0 AS (SELECT date, sum(a) AS gross, sum(weight) AS net, CASE WHEN sum(a) > 0 THEN sum(a * a) / sum(a) / sum(a) ELSE 0 END AS hhi, max(a) AS largest, CASE WHEN sum(a) > 0 THEN max(a) / sum(a) ELSE 0 END AS top1, CASE WHEN sum(a) > 0 THEN sum(CASE WHEN k <= 5 THEN a ELSE 0 END) / sum(a) ELSE 0 END AS top5,
+  count_if(a > 1e-12)::BIGINT AS held, count_if(weight > 1e-12)::BIGINT AS longs, count_if(weight < -1e-12)::BIGINT AS shorts FROM rk GROUP BY date),
+pf AS (SELECT *, CASE WHEN hhi > 0 THEN 1 / hhi ELSE 0 END AS eff, CASE WHEN hhi > 0 THEN 1 / hhi / held ELSE 0 END AS share FROM pf0)"""
 _ls = lambda s, d: P.long_short(signal_panel(s, d), M, 8, 5)
-query("concentration", _PROF + f" SELECT {r('avg(gross)', 'average_gross')}, {r('avg(net)', 'average_net')}, {r('avg(hhi)', 'average_hhi')}, {r('max(largest)', 'max_weight')} FROM pf")(lambda s, d: out(A.concentration(_ls(s, d), W)))
-query("diversification", _PROF + f", ef AS (SELECT *, CASE WHEN hhi > 0 THEN 1 / hhi ELSE 0 END AS n FROM pf) SELECT {r('avg(n)', 'average_effective_positions')}, {r('min(n)', 'min_effective_positions')}, {r('avg(top1)', 'average_top1_share')}, {r('avg(top5)', 'average_top5_share')}, {r('max(top1)', 'max_top1_share')} FROM ef")(lambda s, d: out(A.diversification(_ls(s, d), W)))
-query("group_exposure", _LS + f", ge AS (SELECT date, CASE WHEN symbol < '5' THEN 'low' ELSE '<missing>' END AS \"group\", sum(abs(weight)) AS gross, sum(weight) AS net FROM z GROUP BY 1, 2) SELECT \"group\", count(*) AS dates, {r('avg(gross)', 'average_gross')}, {r('avg(net)', 'average_net')}, {r('max(gross)', 'max_gross')} FROM ge GROUP BY \"group\"")(lambda s, d: out(A.group_exposure(_ls(s, d).withColumn("sector", F.when(F.col("symbol") < "5", "low").otherwise(" ")), W, "sector")))
-_NE = _LS + ", ne AS (SELECT z.date, z.weight AS w, e.k AS exposure, CASE e.k WHEN 'lv' THEN p.lv WHEN 'half' THEN CASE WHEN p.symbol < '5' THEN p.close END END AS x FROM z JOIN p ON z.date = p.date AND z.symbol = p.symbol, (VALUES ('lv'), ('half')) e(k) WHERE abs(z.weight) > 1e-12), nd AS (SELECT exposure, date, sum(CASE WHEN x IS NOT NULL THEN abs(w) * x END) AS ax, sum(CASE WHEN x IS NOT NULL THEN abs(w) END) AS aw, sum(abs(w)) AS gross, sum(CASE WHEN x IS NOT NULL THEN w * x END) AS net FROM ne GROUP BY 1, 2)"
-query("numeric_exposure", _NE + f" SELECT exposure, {r('avg(ax / nullif(aw, 0))', 'average_exposure')}, {r('avg(net)', 'average_net_exposure')}, {r('avg(coalesce(aw, 0) / gross)', 'average_coverage')}, {r('arg_max(net, date) FILTER (WHERE net IS NOT NULL)', 'latest_net_exposure')} FROM nd GROUP BY exposure")(lambda s, d: out(A.numeric_exposure(_ls(s, d).withColumns({"lv": F.ln("volume"), "half": F.when(F.col("symbol") < "5", F.col("close"))}), W, ["lv", "half"])))
+query("concentration", _PROF + f" SELECT count(*) AS periods, {r('avg(gross)', 'average_gross_exposure')}, {r('max(gross)', 'max_gross_exposure')}, {r('avg(net)', 'average_net_exposure')}, {r('avg(hhi)', 'average_herfindahl_index')}, {r('avg(largest)', 'average_max_abs_weight')} FROM pf")(lambda s, d: out(A.concentration(_ls(s, d), W)))
+query("diversification", _PROF + f""" SELECT count(*) AS periods, {r('avg(held)', 'average_holdings_count')}, min(held) AS min_holdings_count, {r('avg(longs)', 'average_long_count')}, {r('avg(shorts)', 'average_short_count')}, {r('avg(eff)', 'average_effective_number_of_positions')}, {r('min(eff)', 'min_effective_number_of_positions')},
+{r('avg(share)', 'average_effective_position_ratio')}, {r('min(share)', 'min_effective_position_ratio')}, {r('avg(top1)', 'average_top_position_weight_share')}, {r('max(top1)', 'max_top_position_weight_share')}, {r('avg(top5)', 'average_top_five_weight_share')}, {r('max(top5)', 'max_top_five_weight_share')} FROM pf""")(
+    lambda s, d: out(A.diversification(_ls(s, d), W))
+)
+query("group_exposure", _LS + f""", ge AS (SELECT date, CASE WHEN symbol < '5' THEN 'low' ELSE '<missing>' END AS group_value, sum(abs(weight)) AS gross, sum(weight) AS net, count_if(abs(weight) > 1e-12)::BIGINT AS held FROM z GROUP BY 1, 2)
+SELECT 'sector' AS group_column, group_value, group_value = '<missing>' AS is_missing_group, count(*) AS periods, {r('avg(gross)', 'average_gross_exposure')}, {r('max(gross)', 'max_gross_exposure')}, {r('avg(net)', 'average_net_exposure')}, {r('max(abs(net))', 'max_abs_net_exposure')}, {r('avg(held)', 'average_holdings_count')}, max(held) AS max_holdings_count FROM ge GROUP BY group_value""")(
+    lambda s, d: out(A.group_exposure(_ls(s, d).withColumn("sector", F.when(F.col("symbol") < "5", "low").otherwise(" ")), W, "sector"))
+)
+_NE = _LS + """, ne AS (SELECT z.date, abs(z.weight) AS a, z.weight AS w, e.k AS exposure_column, CASE e.k WHEN 'lv' THEN p.lv WHEN 'half' THEN CASE WHEN p.symbol < '5' THEN p.close END END AS x FROM z JOIN p ON z.date = p.date AND z.symbol = p.symbol, (VALUES ('lv'), ('half')) e(k)),
+nd0 AS (SELECT exposure_column, date, coalesce(sum(a * x) FILTER (WHERE a > 1e-12 AND x IS NOT NULL), 0) AS ax, coalesce(sum(w * x) FILTER (WHERE a > 1e-12 AND x IS NOT NULL), 0) AS nx, coalesce(sum(a) FILTER (WHERE a > 1e-12 AND x IS NOT NULL), 0) AS yes, coalesce(sum(a) FILTER (WHERE a > 1e-12 AND x IS NULL), 0) AS nope,
+  count_if(a > 1e-12)::BIGINT AS n, count_if(a > 1e-12 AND x IS NOT NULL)::BIGINT AS ny, count_if(a > 1e-12 AND x IS NULL)::BIGINT AS nn FROM ne GROUP BY 1, 2),
+nd AS (SELECT *, CASE WHEN yes > 1e-12 THEN ax / yes END AS m, CASE WHEN yes > 1e-12 THEN nx END AS net FROM nd0)"""
+query("numeric_exposure", _NE + f""" SELECT exposure_column, count(*) AS periods, {r('avg(m)', 'average_absolute_weighted_exposure')}, {r('arg_max(m, date) FILTER (WHERE m IS NOT NULL)', 'latest_absolute_weighted_exposure')}, {r('avg(net)', 'average_net_weighted_exposure')}, {r('arg_max(net, date) FILTER (WHERE m IS NOT NULL)', 'latest_net_weighted_exposure')},
+{r('avg(yes)', 'average_gross_weight_with_exposure')}, {r('avg(nope)', 'average_gross_weight_missing_exposure')}, {r('avg(n)', 'average_active_positions')}, {r('avg(ny)', 'average_positions_with_exposure')}, {r('avg(nn)', 'average_missing_exposure_positions')} FROM nd GROUP BY exposure_column""")(
+    lambda s, d: out(A.numeric_exposure(_ls(s, d).withColumns({"lv": F.ln("volume"), "half": F.when(F.col("symbol") < "5", F.col("close"))}), W, ["lv", "half"]))
+)
+query("shares_summary", _EV + f" SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(eff) AS start_date, max(eff) AS end_date, {r('(SELECT sum(x) FROM (SELECT arg_max(1000 + value, eff) AS x FROM ev GROUP BY symbol))', 'latest_shares_total')} FROM ev")(
+    lambda s, d: out(A.source_summary(_records(s, d).select("symbol", "effective_date", (F.lit(1000) + F.col("value")).alias("shares_outstanding")), "shares_outstanding"))
+)
 query("market_summary", SQL + "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS dates, min(date) AS first_date, max(date) AS last_date FROM bars")(lambda s, d: out(A.market_summary(S.bars(s, d))))
 query("quality_summary", SQL + f", a AS (SELECT count(*) AS n FROM bars GROUP BY symbol), c AS (SELECT count(*) AS n FROM bars GROUP BY date) SELECT (SELECT min(n) FROM a) AS min_rows_per_symbol, {r('(SELECT avg(n) FROM a)', 'avg_rows_per_symbol')}, (SELECT max(n) FROM a) AS max_rows_per_symbol, (SELECT min(n) FROM c) AS min_symbols_per_date, {r('(SELECT avg(n) FROM c)', 'avg_symbols_per_date')}, (SELECT max(n) FROM c) AS max_symbols_per_date")(lambda s, d: out(A.quality_summary(S.bars(s, d))))
 
-# Experiments.
-query("sweep")(lambda s, d: out(E.sweep(X.forward_return(panel(s, d), 1), "momentum", "lookback", [1, 2, 3], BASIC, 10)))
-query("walk_forward")(lambda s, d: out(E.walk_forward(X.forward_return(panel(s, d), 1), "momentum", "lookback", [1, 2, 3], BASIC, 10, 8, 4)))
+# Experiments: one long table of candidates under their lookback.
+_RUNS = SQL + ", cd AS (" + " UNION ALL ".join(f"SELECT {v}::BIGINT AS v, date, symbol, ret, f1, close / lag(close, {v}) OVER (PARTITION BY symbol ORDER BY date) - 1 AS m FROM p" for v in (1, 2, 3)) + """),
+pk AS (SELECT *, CASE WHEN m IS NOT NULL THEN row_number() OVER (PARTITION BY v, date, m IS NULL ORDER BY m DESC, symbol) END AS k FROM cd),
+wt AS (SELECT *, CASE WHEN k <= 10 THEN 1.0 / count(CASE WHEN k <= 10 THEN 1 END) OVER (PARTITION BY v, date) ELSE 0 END AS weight FROM pk),
+wx AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY v, symbol ORDER BY date), 0) AS w FROM wt), wp AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY v, symbol ORDER BY date), 0) AS prev FROM wx),
+rd AS (SELECT v, date, sum(w * coalesce(ret, 0)) - sum(abs(w - prev) * 0.0005) AS x, sum(abs(w - prev)) AS turnover, count(*) AS total, count(CASE WHEN m IS NOT NULL THEN f1 END) AS usable,
+  CASE WHEN count(CASE WHEN m IS NOT NULL THEN f1 END) >= 2 THEN covar_samp(m, f1) / nullif(sqrt(var_samp(CASE WHEN f1 IS NOT NULL THEN m END)), 0) / nullif(sqrt(var_samp(CASE WHEN m IS NOT NULL THEN f1 END)), 0) END AS ic FROM wp GROUP BY v, date)"""
+query("sweep", _RUNS + f""", nv AS (SELECT *, product(1 + x) OVER (PARTITION BY v ORDER BY date) AS nav FROM rd), dd AS (SELECT *, nav / max(nav) OVER (PARTITION BY v ORDER BY date) - 1 AS dd FROM nv)
+SELECT 'lookback' AS parameter_name, v AS parameter_value, 'momentum_signal_' || v || 'd' AS signal_column, {r('product(1 + x) - 1', 'cumulative_return')}, {r('min(dd)', 'max_drawdown')}, {r('avg(x) / nullif(stddev_samp(x), 0) * sqrt(252)', 'sharpe_ratio')}, {r('avg(turnover)', 'average_turnover')}, {r('avg((x > 0)::INT)', 'hit_rate')},
+{r('avg(ic)', 'mean_ic')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 'ic_ir')}, {r('sum(usable) / sum(total)', 'joint_coverage_ratio')}, 'long_only' AS construction FROM dd GROUP BY v""")(
+    lambda s, d: out(E.sweep(X.forward_return(panel(s, d), 1), "momentum", "lookback", [1, 2, 3], BASIC, 10))
+)
+_FOLDS = _RUNS + """, dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p)),
+fo AS (SELECT f.k + 1 AS fold_index, dn.date, CASE WHEN dn.i < f.k * 4 + 8 THEN 'train' ELSE 'test' END AS role FROM dn, (SELECT unnest(range(0, 1000)) AS k) f WHERE f.k * 4 + 12 <= dn.n AND dn.i >= f.k * 4 AND dn.i < f.k * 4 + 12),
+fv AS (SELECT rd.*, fold_index, role, product(1 + x) OVER (PARTITION BY fold_index, role, v ORDER BY rd.date) AS nav FROM rd JOIN fo ON rd.date = fo.date),
+fd AS (SELECT *, nav / max(nav) OVER (PARTITION BY fold_index, role, v ORDER BY date) - 1 AS dd FROM fv),
+sc AS (SELECT fold_index, role, v, product(1 + x) - 1 AS cum, min(dd) AS low, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252) AS sharpe, avg(ic) AS ic, sum(usable) / sum(total) AS joint, min(date) AS a, max(date) AS b FROM fd GROUP BY 1, 2, 3),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_index ORDER BY cum DESC NULLS LAST, v) AS o FROM sc WHERE role = 'train') WHERE o = 1)"""
+query("walk_forward", _FOLDS + f""" SELECT bs.fold_index, 'lookback' AS parameter_name, bs.v AS selected_parameter_value, 'momentum_signal_' || bs.v || 'd' AS signal_column, 'cumulative_return' AS selection_metric, bs.a AS train_start, bs.b AS train_end, t.a AS test_start, t.b AS test_end, {r('bs.cum', 'train_selection_score')}, {r('bs.cum', 'train_cumulative_return')}, {r('bs.ic', 'train_mean_ic')},
+{r('t.cum', 'test_cumulative_return')}, {r('t.low', 'test_max_drawdown')}, {r('t.sharpe', 'test_sharpe_ratio')}, {r('t.ic', 'test_mean_ic')}, {r('t.joint', 'test_joint_coverage_ratio')} FROM bs JOIN sc t ON t.fold_index = bs.fold_index AND t.v = bs.v AND t.role = 'test'""")(
+    lambda s, d: out(E.walk_forward(X.forward_return(panel(s, d), 1), "momentum", "lookback", [1, 2, 3], BASIC, 10, 8, 4))
+)

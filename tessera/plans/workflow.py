@@ -8,7 +8,6 @@ panel and the daily results in Spark's cache while its summaries are made.
 from __future__ import annotations
 
 import tomllib
-from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,7 @@ class ConfigError(ValueError):
     """A configuration file breaks a rule."""
 
 
+BENCHMARK_WINDOW = 20
 #: Window options of [dataset] and the feature each adds, in the order of the columns.
 WINDOWS = {
     "average_true_range_window": X.average_true_range, "normalized_average_true_range_window": X.normalized_average_true_range,
@@ -106,11 +106,43 @@ def parse_config(raw: dict, base: Path) -> dict[str, dict]:
     for what, used, section in needs:
         if used and section not in out:
             raise ConfigError(f"{what} needs [{section}]")
-    if "signal" in out and (out["signal"]["clip_lower_bound"] is None) != (out["signal"]["clip_upper_bound"] is None):
-        raise ConfigError("clip bounds come in pairs")
+    _check(out)
     return out
 
 
+def _check(cfg: dict) -> None:
+    """Rules between options; the first that is broken is an error."""
+    d, g, u = cfg["dataset"], cfg["diagnostics"], cfg.get("universe")
+    rules = [
+        ("market_cap_bucket_count must be at least 2", d["market_cap_bucket_count"] is not None and d["market_cap_bucket_count"] < 2),
+        ("market_cap_bucket_count needs include_market_cap", d["market_cap_bucket_count"] is not None and not d["include_market_cap"]),
+        ("higher_moments_window must be at least 4", d["higher_moments_window"] is not None and d["higher_moments_window"] < 4),
+        ("ic_method is pearson or spearman", g["ic_method"] not in ("pearson", "spearman")),
+        ("n_quantiles must be at least 2", g["n_quantiles"] < 2),
+        ("min_observations must not be below n_quantiles", g["min_observations"] < g["n_quantiles"]),
+        ("rolling_ic_window must be at least 2", g["rolling_ic_window"] < 2),
+    ]
+    rules += [(f"[{t}] path must end in .csv or .parquet", not cfg[t]["path"].lower().endswith((".csv", ".parquet"))) for t in ("data", *TABLES) if t in cfg]
+    if s := cfg.get("signal"):
+        rules.append(("clip bounds come in pairs", (s["clip_lower_bound"] is None) != (s["clip_upper_bound"] is None)))
+        rules.append(("short_window must be below long_window", s["name"] == "trend" and (s["short_window"] or 20) >= (s["long_window"] or 60)))
+    if u:
+        filters = ("min_price", "min_average_volume", "min_average_dollar_volume", "min_listing_history_days")
+        rules.append(("[universe] needs a rule", all(u[k] is None for k in filters) and not u["required_membership_indexes"] and not u["require_tradable"]))
+        rules += [(f"{k}_window needs min_{k}", u[f"{k}_window"] is not None and u[f"min_{k}"] is None) for k in ("average_volume", "average_dollar_volume")]
+    if p := cfg.get("portfolio"):
+        least = p["exposure"] if p["construction"] == "long_only" else min(p["long_exposure"], p["short_exposure"])
+        rules += [(f"{k} must not exceed the exposure", p[k] is not None and p[k] > least) for k in ("max_position_weight", "max_group_weight")]
+    for message, broken in rules:
+        if broken:
+            raise ConfigError(message)
+    if "backtest" in cfg:
+        try:
+            backtest_settings(cfg)
+        except (ValueError, KeyError, TypeError) as e:
+            raise ConfigError(f"[backtest]: {e}") from e
+
+
 def load_table(spark: SparkSession, cfg: dict, section: str) -> DataFrame:
     o = cfg[section]
     return S.load(spark, o["path"], section, {o[k]: v for k, v in TABLES[section].items() if o[k] != v})
@@ -162,15 +194,16 @@ def build_dataset(spark: SparkSession, cfg: dict) -> DataFrame:
         df = J.attach_shares(df, load_table(spark, cfg, "shares_outstanding"), sessions)
         if d["market_cap_bucket_count"] is not None:
             df = J.market_cap_buckets(df, d["market_cap_bucket_count"])
-    if d["benchmark_rolling_window"] is not None or d["benchmark_residual_return_window"] is not None:
+    if "benchmark" in cfg:
         df = X.with_benchmark(df, load_table(spark, cfg, "benchmark"))
-        if d["benchmark_rolling_window"] is not None:
-            df = X.benchmark_statistics(df, d["benchmark_rolling_window"])
+        # Without any window the benchmark's statistics have the default one.
+        if d["benchmark_rolling_window"] is not None or d["benchmark_residual_return_window"] is None:
+            df = X.benchmark_statistics(df, d["benchmark_rolling_window"] or BENCHMARK_WINDOW)
         if d["benchmark_residual_return_window"] is not None:
             df = X.benchmark_residual(df, d["benchmark_residual_return_window"])
     if u:
         window = lambda k: d["average_volume_window"] if u[k] is None else u[k]
-        df = apply_universe(df, UniverseRules(u["min_price"], u["min_average_volume"], window("average_volume_window"), u["min_average_dollar_volume"], window("average_dollar_volume_window"), u["min_listing_history_days"], tuple(u["required_membership_indexes"]), u["require_tradable"], u["lag"]))
+        df = apply_universe(df, UniverseRules(u["min_price"], u["min_average_volume"], window("average_volume_window"), u["min_average_dollar_volume"], window("average_dollar_volume_window"), u["min_listing_history_days"], tuple(u["required_membership_indexes"]), u["require_tradable"], u["lag"]), sessions)
     return df
 
 
@@ -215,8 +248,7 @@ def backtest_settings(cfg: dict) -> BacktestSettings:
     same = {k: b[k] for k in ("signal_delay", "commission_bps", "slippage_bps", "commission_bps_column", "slippage_bps_column", "market_impact_bps_per_turnover", "max_trade_weight_column", "max_participation_rate", "participation_notional", "max_turnover", "initial_nav")}
     columns = {k: b[f"{k}_column"] for k in ("shortable", "tradable", "can_buy", "can_sell", "borrow_fee_bps")}
     buckets = tuple((x["bucket"], x["slippage_bps"]) for x in b["slippage_bps_by_liquidity_bucket"])
-    out = BacktestSettings(fill=b["fill_timing"], rebalance=b["rebalance_frequency"], liquidity_bucket=b["liquidity_bucket_column"], slippage_bps_by_bucket=buckets, min_trade_weight=b["min_trade_weight"] or 0.0, **same, **columns)
-    return out if b["transaction_cost_bps"] is None else replace(out, commission_bps=b["transaction_cost_bps"], slippage_bps=0.0)
+    return BacktestSettings(transaction_cost_bps=b["transaction_cost_bps"], fill=b["fill_timing"], rebalance=b["rebalance_frequency"], liquidity_bucket=b["liquidity_bucket_column"], slippage_bps_by_bucket=buckets, min_trade_weight=b["min_trade_weight"] or 0.0, **same, **columns)
 
 
 def backtest(spark: SparkSession, cfg: dict) -> tuple[DataFrame, str, DataFrame]:
@@ -243,7 +275,7 @@ def summaries(panel: DataFrame, signal: str, daily: DataFrame, cfg: dict) -> dic
     out = {"Data Summary": A.market_summary(panel), "Data Quality Summary": A.quality_summary(panel)}
     if "universe" in cfg:
         out |= {"Universe Summary": A.universe_summary(panel), "Universe Exclusions": A.reason_histogram(panel).orderBy("reason")}
-    out |= {"Performance Summary": A.performance(daily), "Risk Summary": A.risk(daily)}
+    out |= {"Execution Summary": A.execution_summary(daily), "Performance Summary": A.performance(daily), "Risk Summary": A.risk(daily)}
     if "benchmark" in cfg:
         out |= {"Relative Performance": A.relative_performance(daily), "Benchmark Risk": A.rolling_benchmark_risk_summary(A.rolling_benchmark_risk(daily, cfg["benchmark"]["rolling_window"]))}
     out |= {
@@ -254,6 +286,7 @@ def summaries(panel: DataFrame, signal: str, daily: DataFrame, cfg: dict) -> dic
     }
     for c in g["group_columns"]:
         out[f"IC by {c}"] = A.ic_summary(A.ic_series(panel, signal, label, g["ic_method"], g["min_observations"], c), (c,)).orderBy(c)
+        out[f"Exposure by {c}"] = A.group_exposure(panel, weight, c).orderBy("group_value")
         out[f"Coverage by {c}"] = A.coverage_summary(A.coverage(panel, signal, label, c), (c,)).orderBy(c)
     if g["exposure_columns"]:
         out["Exposures"] = A.numeric_exposure(panel, weight, g["exposure_columns"])
@@ -274,8 +307,13 @@ def charts(panel: DataFrame, signal: str, daily: DataFrame, cfg: dict) -> dict[s
         "cumulative_ic": R.chart("Cumulative information coefficient", running, "date", ["cumulative_ic"]),
         "coverage": R.chart("Coverage", A.coverage(panel, signal, label), "date", ["signals", "labels", "usable"]),
         "quantile_cumulative": R.chart("Cumulative return by quantile", A.quantile_cumulative(buckets), "date", ["cumulative_return"], by="bucket"),
+        "rolling_ic": R.chart("Rolling information coefficient", A.rolling_ic(ics, g["rolling_ic_window"]), "date", ["rolling_mean_ic", "rolling_ic_ir"]),
+        "ic_decay": R.chart("Mean information coefficient by horizon", A.ic_summary(A.ic_decay(panel, signal, {h: f"forward_return_{h}d" for h in sorted(cfg["dataset"]["forward_horizons"])}, g["ic_method"], g["min_observations"]), ("horizon",)), "horizon", ["mean_ic", "ic_ir"]),
+        "quantile_mean": R.chart("Mean return by quantile", A.quantile_returns(buckets), "bucket", ["average_return"]),
         "quantile_spread": R.chart("Quantile spread", A.quantile_spread(buckets), "date", ["spread"]),
     }
+    if "benchmark" in cfg:
+        out["benchmark_risk"] = R.chart("Rolling beta and correlation", A.rolling_benchmark_risk(daily, cfg["benchmark"]["rolling_window"]), "date", ["rolling_beta", "rolling_correlation"])
     for c in g["group_columns"]:
         out[f"ic_by_{c}"] = R.chart(f"IC by {c}", A.ic_series(panel, signal, label, g["ic_method"], g["min_observations"], c), "date", ["ic"], by=c)
         out[f"coverage_by_{c}"] = R.chart(f"Usable rows by {c}", A.coverage(panel, signal, label, c), "date", ["usable"], by=c)
@@ -287,5 +325,5 @@ def validation_text(spark: SparkSession, cfg: dict) -> str:
     bars = load_bars(spark, cfg)
     parts = {"Data Summary": A.market_summary(bars), "Data Quality Summary": A.quality_summary(bars)}
     for section in [t for t in TABLES if t in cfg]:
-        parts[section] = load_table(spark, cfg, section).agg(F.count("*").alias("rows"))
+        parts[section] = A.source_summary(load_table(spark, cfg, section), section)
     return R.report_text("Data Validation", parts)

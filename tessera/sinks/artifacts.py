@@ -153,10 +153,10 @@ def run_summary(run: dict) -> dict:
     num = lambda r, k: float(r[k]) if r.get(k) else None
     if run["command"] == "walk-forward-signal":
         ics = [x for r in rows if (x := num(r, "test_mean_ic")) is not None]
-        returns = [x for r in rows if (x := num(r, "test_return")) is not None]
+        returns = [x for r in rows if (x := num(r, "test_cumulative_return")) is not None]
         return run | {"cumulative_return": math.prod(1 + x for x in returns) - 1 if returns else None, "sharpe_ratio": None, "mean_ic": sum(ics) / len(ics) if ics else None}
     best = max((r for r in rows if num(r, "cumulative_return") is not None), key=lambda r: num(r, "cumulative_return"), default={})
-    return run | {"best_value": best.get("value"), **{k: num(best, k) for k in ("cumulative_return", "sharpe_ratio", "mean_ic")}}
+    return run | {"best_value": best.get("parameter_value"), **{k: num(best, k) for k in ("cumulative_return", "sharpe_ratio", "mean_ic")}}
 
 
 def compare_runs(root: str | Path, run_ids: list[str]) -> list[dict]:

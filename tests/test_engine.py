@@ -15,7 +15,7 @@ from tessera.operators import portfolio as P
 from tessera.operators import transforms as T
 from tessera.operators.backtest import BacktestSettings, backtest_panel, limit_trades, run_backtest
 from tessera.operators.universe import UniverseRules, apply_universe
-from tessera.plans.experiments import folds, rank_runs
+from tessera.plans.experiments import folds, rank_runs, sweep, validate_sweep, validate_walk_forward, walk_forward
 from tessera.sources.tables import DataValidationError, dates_on_calendar, load, split_adjust, validate
 
 DAY0 = dt.date(2024, 1, 2)
@@ -191,3 +191,170 @@ def test_folds_and_run_ranks(spark):
     runs = spark.createDataFrame([("a", 2.0, None), ("b", 2.0, 1.0), ("c", 1.0, 3.0)], "run_id string, x double, y double")
     got = {r.run_id: (r.rank_x, r.rank_y, r.score) for r in rank_runs(runs, {"x": 1.0, "y": 3.0}).collect()}
     assert got == {"a": (1, 3, 2.5), "b": (1, 2, 1.75), "c": (3, 1, 1.5)}
+
+
+def book(spark, **columns):
+    return bars(spark, {"A": [10.0, 11.0, 12.0], "B": [10.0, 9.0, 8.0]}).withColumns({"portfolio_weight": F.when(F.col("symbol") == "A", 0.5).otherwise(-0.5), **columns})
+
+
+@pytest.mark.parametrize("value", [None, "maybe", "2", ""])
+@pytest.mark.parametrize("name", ["tradable", "can_buy", "can_sell", "shortable"])
+def test_flags_of_rows_are_strict(spark, name, value):
+    df = book(spark, flag=F.lit(value).cast("string"))
+    with pytest.raises(Exception, match="missing or invalid flag in flag"):
+        run_backtest(df, BacktestSettings(**{name: "flag"})).collect()
+    for good in ("true", " FALSE ", "1", "0"):
+        assert run_backtest(book(spark, flag=F.lit(good)), BacktestSettings(**{name: "flag"})).count() == 3
+
+
+@pytest.mark.parametrize("value", [None, -5.0, float("inf"), float("nan"), "x"])
+@pytest.mark.parametrize("name", ["commission_bps_column", "slippage_bps_column", "borrow_fee_bps", "max_trade_weight_column"])
+def test_amounts_of_rows_are_strict(spark, name, value):
+    df = book(spark, v=F.lit(value) if value is not None else F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="missing, invalid or negative value in v"):
+        run_backtest(df, BacktestSettings(**{name: "v"})).collect()
+    assert run_backtest(book(spark, v=F.lit("3")), BacktestSettings(**{name: "v"})).count() == 3
+
+
+def test_liquidity_buckets(spark):
+    s = BacktestSettings(liquidity_bucket="b", slippage_bps_by_bucket=(("high", 1.0), ("low", 9.0)))
+    for bad in (None, " ", "other"):
+        with pytest.raises(Exception, match="bucket in b"):
+            run_backtest(book(spark, b=F.lit(bad).cast("string")), s).collect()
+    got = run_backtest(book(spark, b=F.when(F.col("symbol") == "A", " high ").otherwise("low")), s).orderBy("date").collect()
+    assert got[1].slippage_cost == pytest.approx(0.5 * 1e-4 + 0.5 * 9e-4)
+
+
+def test_costs_exclude_each_other():
+    for bad in ({"transaction_cost_bps": 1.0, "commission_bps": 1.0}, {"commission_bps": 1.0, "commission_bps_column": "c"}, {"liquidity_bucket": "b"}, {"slippage_bps": 1.0, "liquidity_bucket": "b", "slippage_bps_by_bucket": (("x", 1.0),)}, {"commission_bps": -1.0}, {"slippage_bps_by_bucket": (("x", 1.0), ("x", 2.0)), "liquidity_bucket": "b"}, {"initial_nav": 0.0}):
+        with pytest.raises(ValueError):
+            BacktestSettings(**bad)
+    assert BacktestSettings(transaction_cost_bps=5.0).transaction_cost_bps == 5.0
+
+
+def test_fold_over_runs_and_small_batches(spark):
+    rng = random.Random(4)
+    df = bars(spark, {s: [10 + rng.random() for _ in range(15)] for s in "ABCDE"}).withColumn("portfolio_weight", F.rand(5) - 0.5).cache()
+    both = df.withColumn("run", F.lit("x")).unionByName(df.withColumn("run", F.lit("y")).withColumn("portfolio_weight", F.col("portfolio_weight") * 2))
+    s = BacktestSettings(max_turnover=0.4, max_trade_weight=0.3)
+    key = lambda p: sorted((r.date, round(r.turnover, 12), round(r.net_nav, 12)) for r in p.collect())
+    want = key(run_backtest(df, s))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert key(run_backtest(df, s)) == want
+        got = run_backtest(both, s, "run")
+        assert key(got.where("run = 'x'")) == want and key(got.where("run = 'y'")) != want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("name", ["classifications", "borrow", "status", "shares", "memberships", "fundamentals"])
+def test_records_of_one_session_are_an_error(spark, name):
+    """Two records on days without bars become available on the same next session."""
+    panel = bars(spark, {"A": [10.0] * 3}).unionByName(bars(spark, {"A": [10.0] * 9}).where(F.col("date") >= F.lit(DAY0 + dt.timedelta(7))))
+    rows = [("A", DAY0 + dt.timedelta(4), 1), ("A", DAY0 + dt.timedelta(5), 2)]
+    r = spark.createDataFrame(rows, "symbol string, effective_date date, n int").withColumns({
+        "sector": F.lit("s"), "industry": F.lit("i"), "is_borrowable": F.lit(True), "borrow_fee_bps": F.lit(1.0), "is_tradable": F.lit(True), "status_reason": F.lit(""), "shares_outstanding": F.lit(1.0),
+        "index_name": F.lit("X"), "is_member": F.lit(True), "metric_name": F.lit("m"), "metric_value": F.lit(1.0), "release_date": F.col("effective_date"),
+    })
+    join = {"classifications": J.attach_classifications, "borrow": J.attach_borrow, "status": J.attach_trading_status, "shares": J.attach_shares, "memberships": lambda p, x: J.attach_memberships(p, x, ["X"]), "fundamentals": lambda p, x: J.attach_fundamentals(p, x, ["m"])}[name]
+    with pytest.raises(Exception, match="same session"):
+        join(panel, r).collect()
+    got = join(panel, r.where("n = 1"))
+    assert got.count() == panel.count() and got.where(F.col(got.columns[7]).isNotNull()).count() == 2
+
+
+def test_series_are_told_apart(spark):
+    rows = [("A", DAY0, "x", 1.0), ("A", DAY0, "y", 2.0), ("A", DAY0 + dt.timedelta(1), "x", None), ("B", DAY0, "z", 9.0)]
+    r = spark.createDataFrame(rows, "symbol string, release_date date, metric_name string, metric_value double")
+    got = J.attach_fundamentals(bars(spark, {"A": [10.0] * 3, "B": [10.0] * 3}), r, ["x", "y"]).orderBy("symbol", "date").collect()
+    assert [(x.fundamental_x, x.fundamental_y) for x in got] == [(None, None), (1.0, 2.0), (None, 2.0)] + [(None, None)] * 3
+
+
+def test_listing_days_by_sessions(spark):
+    panel = bars(spark, {"A": [10.0] * 4, "B": [10.0] * 4}).withColumn("listing_date", F.when(F.col("symbol") == "A", F.lit(DAY0 - dt.timedelta(3))).otherwise(F.lit(DAY0 + dt.timedelta(1))))
+    calendar = spark.createDataFrame([(DAY0 + dt.timedelta(i),) for i in (-2, -1, 0, 1, 3)], "date date")
+    get = lambda c: {(r.symbol, (r.date - DAY0).days): r.listing_history_days for r in J.listing_days(panel, c).collect()}
+    got = get(calendar)
+    assert [got["A", i] for i in range(4)] == [3, 4, None, 5] and [got["B", i] for i in range(4)] == [0, 1, None, 2]
+    got = get(None)
+    assert [got["A", i] for i in range(4)] == [1, 2, 3, 4] and [got["B", i] for i in range(4)] == [0, 1, 2, 3]
+    flags = {(r.symbol, (r.date - DAY0).days): r.passes_listing_history for r in apply_universe(panel, UniverseRules(min_listing_days=4), calendar).collect()}
+    assert flags["A", 2] and not flags["A", 1] and not flags["A", 3] and not flags["B", 3]
+
+
+def test_caps_and_exposures_are_strict(spark):
+    df = book(spark, score=F.col("close"))
+    for cap in (F.lit(-0.1), F.lit("x")):
+        with pytest.raises(Exception, match="cap in c"):
+            P.long_only(df.withColumn("c", cap), "score", 1, cap_column="c").collect()
+    assert P.long_only(df.withColumn("c", F.lit(None).cast("double")), "score", 1, cap_column="c").agg(F.sum("portfolio_weight")).first()[0] == 0
+    for bad in ({"exposure": -1.0}, {"max_weight": 2.0}, {"max_weight": -0.1}, {"group": "symbol"}, {"top_n": 0}):
+        with pytest.raises(ValueError):
+            P.long_only(df, "score", **{"top_n": 1, **bad})
+    inf = df.withColumns({"x": F.lit(float("inf")), "y": F.lit(1.0)})
+    for bounds in ([P.ExposureBound("x", maximum=1.0)], [P.ExposureBound("x", maximum=1.0), P.ExposureBound("y", maximum=1.0)]):
+        with pytest.raises(Exception, match="invalid number in x"):
+            P.long_only(inf, "score", 1, bounds=bounds).collect()
+    with pytest.raises(Exception, match="invalid number in x"):
+        T.residualize(inf, "score", ["x"]).collect()
+
+
+# The published sample panel's closes and the results published for it.
+CLOSES = {
+    "AAPL": [100.0, 101.0, 103.0, 104.0, 106.0, 108.0, 109.0, 111.0, 113.0, 115.0],
+    "MSFT": [120.0, 119.0, 117.0, 116.0, 114.0, 112.0, 111.0, 109.0, 107.0, 106.0],
+    "NFLX": [100.0, 97.0, 100.0, 97.0, 100.0, 97.0, 100.0, 97.0, 100.0, 97.0],
+    "XOM": [90.0, 91.0, 91.5, 92.0, 93.0, 94.0, 95.0, 96.0, 97.0, 98.0],
+}
+SWEEP = {1: (-0.0748633668, -0.0794610039, -5.6926401216, 1.5, 0.4, -0.1830943295, -1.3132531742, 0.8), 2: (0.1159519698, 0.0, 20.7137192332, 0.1, 0.7, 0.6393658808, 4.9495208479, 0.7), 3: (0.1052267779, 0.0, 17.5667522046, 0.1, 0.6, 0.3314388932, None, 0.6)}
+FOLDS = {1: (0.0092087379, 0.6224963929, 0.0384615385, 0.0, 1178.622077, 0.5896069414, 1.0), 2: (0.0480244586, 0.6060516671, 0.0277777778, 0.0, 34.0945416085, 0.7127219035, 1.0), 3: (0.0673076923, 0.6511644225, 0.0360360360, 0.0, 1257.196882, 0.6259106901, 0.5)}
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    days = [dt.date(2024, 1, d) for d in (2, 3, 4, 5, 8, 9, 10, 11, 12, 15)]
+    rows = [(d, s, c, c, c, c, 1.0) for s, cs in CLOSES.items() for d, c in zip(days, cs)]
+    return X.forward_return(spark.createDataFrame(rows, BARS), 1)
+
+
+def test_sweep_anchors(sample):
+    got = sweep(sample, "momentum", "lookback", [1, 2, 3], BacktestSettings(transaction_cost_bps=5.0), 1, least=4)
+    names = ("cumulative_return", "max_drawdown", "sharpe_ratio", "average_turnover", "hit_rate", "mean_ic", "ic_ir", "joint_coverage_ratio")
+    for r in got.collect():
+        assert (r.parameter_name, r.signal_column, r.construction) == ("lookback", f"momentum_signal_{r.parameter_value}d", "long_only")
+        for n, want in zip(names, SWEEP[r.parameter_value]):
+            assert want is None or r[n] == pytest.approx(want, abs=1e-9), n
+    assert validate_sweep(got).count() == 3
+
+
+def test_walk_forward_anchors(sample):
+    got = walk_forward(sample, "momentum", "lookback", [1, 2, 3], BacktestSettings(transaction_cost_bps=5.0), 1, 4, 2, least=4)
+    rows = {r.fold_index: r for r in got.collect()}
+    names = ("train_cumulative_return", "train_mean_ic", "test_cumulative_return", "test_max_drawdown", "test_sharpe_ratio", "test_mean_ic", "test_joint_coverage_ratio")
+    assert sorted(rows) == [1, 2, 3] and {r.selected_parameter_value for r in rows.values()} == {2}
+    for k, r in rows.items():
+        for n, want in zip(names, FOLDS[k]):
+            assert r[n] == pytest.approx(want, rel=1e-8, abs=1e-9), (k, n)
+    assert (rows[1].train_start, rows[1].train_end, rows[1].test_end) == (dt.date(2024, 1, 2), dt.date(2024, 1, 5), dt.date(2024, 1, 9))
+    assert validate_walk_forward(got).count() == 3
+    for bad in (got.drop("test_mean_ic"), got.withColumn("test_mean_ic", F.lit(None).cast("double")), got.withColumn("parameter_name", F.lit(" ")), got.limit(0)):
+        with pytest.raises(DataValidationError):
+            validate_walk_forward(bad)
+
+
+def test_summaries_of_sources(spark):
+    r = spark.createDataFrame([("A", DAY0, True, 1.0, "s", "i"), ("A", DAY0 + dt.timedelta(3), False, None, "s", "j"), ("B", DAY0, True, 2.0, None, None)], "symbol string, effective_date date, f boolean, x double, sector string, industry string")
+    got = A.source_summary(r.withColumnsRenamed({"f": "is_borrowable", "x": "borrow_fee_bps"}), "borrow_availability").first()
+    assert (got.rows, got.symbols, got.borrowable_rows, got.not_borrowable_rows, got.fee_observations) == (3, 2, 2, 1, 2)
+    got = A.source_summary(r.withColumn("shares_outstanding", F.coalesce("x", F.lit(7.0))), "shares_outstanding").first()
+    assert (got.rows, got.symbols, got.latest_shares_total) == (3, 2, 9.0)
+    got = A.source_summary(r, "classifications").first()
+    assert (got.sectors, got.industries, got.end_date) == (1, 2, DAY0 + dt.timedelta(3))
+
+
+def test_a_bucket_that_lost_all_has_no_cumulative_return(spark):
+    daily = spark.createDataFrame([(DAY0, 1, -1.0)], "date date, bucket int, mean_return double")
+    with pytest.raises(Exception, match="lost all"):
+        A.quantile_cumulative(daily).collect()

@@ -63,6 +63,30 @@ def test_config_is_strict(config, tmp_path):
             W.load_config(tmp_path / "bad.toml")
 
 
+@pytest.mark.parametrize(
+    "change, message",
+    [
+        ("min_observations = 2|min_observations = 1", "n_quantiles"), ("n_quantiles = 2|n_quantiles = 1", "n_quantiles"), ("n_quantiles = 2|n_quantiles = 2\nrolling_ic_window = 1", "rolling_ic"),
+        ("n_quantiles = 2|n_quantiles = 2\nic_method = 'other'", "ic_method"), ("max_position_weight = 0.6|max_position_weight = 1.6", "exposure"), ("min_price = 5.0|average_volume_window = 3\nmin_price = 5.0", "average_volume"),
+        ("min_price = 5.0|lag = 1", "universe"), ("commission_bps = 2.0|commission_bps = 2.0\ntransaction_cost_bps = 1.0", "excludes"), ("commission_bps = 2.0|commission_bps = -2.0", "negative"),
+        ("commission_bps = 2.0|commission_bps = 2.0\ncommission_bps_column = 'x'", "not both"), ("commission_bps = 2.0|liquidity_bucket_column = 'x'", "bucket"), ("bars.csv|bars.json", "csv"), ("lookback = 2|clip_lower_bound = 0.1", "pairs"),
+        ("volatility_window = 2|market_cap_bucket_count = 3", "needs"), ("name = \"momentum\"\nlookback = 2|name = \"trend\"\nshort_window = 9\nlong_window = 5", "short_window"),
+    ],
+)
+def test_rules_between_options(tmp_path, change, message):
+    old, new = change.split("|")
+    assert old in CONFIG
+    (tmp_path / "bad.toml").write_text(CONFIG.replace(old, new, 1))
+    with pytest.raises(W.ConfigError, match=message):
+        W.load_config(tmp_path / "bad.toml")
+
+
+def test_benchmark_without_windows_has_default_statistics(spark, config):
+    cfg = W.load_config(config)
+    cfg["dataset"]["benchmark_rolling_window"] = None
+    assert {"rolling_benchmark_beta_20d", "rolling_benchmark_correlation_20d"} <= set(W.build_dataset(spark, cfg).columns)
+
+
 def test_dataset_and_backtest(spark, config):
     panel, signal, daily = W.backtest(spark, W.load_config(config))
     assert signal == "momentum_signal_2d" and panel.count() == 30 and daily.count() == 10
@@ -79,7 +103,7 @@ def test_commands(spark, config, tmp_path, capsys):
     assert len((tmp_path / "daily.csv").read_text().splitlines()) == 11
     assert cli.main(["report", *c, "--artifact-dir", str(tmp_path / "r")]) == 0
     assert "Performance Summary" in (tmp_path / "r/report.txt").read_text() and "<svg" in (tmp_path / "r/index.html").read_text()
-    assert len(json.loads((tmp_path / "r/charts/manifest.json").read_text())["charts"]) == 8
+    assert len(json.loads((tmp_path / "r/charts/manifest.json").read_text())["charts"]) == 12
     root = str(tmp_path / "runs")
     assert cli.main(["sweep-signal", *c, "--parameter", "lookback", "--values", "1", "2", "--experiment-root", root]) == 0
     assert cli.main(["walk-forward-signal", *c, "--parameter", "lookback", "--values", "1", "2", "--train-periods", "4", "--test-periods", "2", "--experiment-root", root]) == 0
