@@ -70,7 +70,7 @@ def _may_be_frequent(symbols: np.ndarray, last: np.ndarray, least: int) -> np.nd
     slot = ((h + symbols[1:]) * np.uint32(2246822519)) >> np.uint32(32 - _BITS)
     free = ~last[:-1]
     often = np.bincount(slot[free], minlength=1 << _BITS) >= least
-    return np.flatnonzero(free & often[slot])
+    return np.flatnonzero(free & often[slot]).astype(np.int32)
 
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, phases: tuple = PHASES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, phases: tu
     rules, sizes = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
     for least in phases:
         n = len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         gone = np.zeros(n, bool)
         at = _may_be_frequent(symbols, last, least)
         while len(at):
@@ -103,9 +103,9 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, phases: tu
             by = np.lexsort((pairs, -times[often]))
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            of_pair = np.full(len(first), -1)
+            of_pair = np.full(len(first), -1, np.int32)
             of_pair[often] = rank
-            r = np.empty(len(at), np.int64)
+            r = np.empty(len(at), np.int32)
             r[order] = np.repeat(of_pair, times)
             at, r = at[r >= 0], r[r >= 0]
             # Of two occurrences that share a symbol, the better pair's is replaced.
@@ -126,11 +126,15 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int = VOCABULARY, phases: tu
             after[place] = after[end]
             inner = after[place] < n
             before[after[place[inner]]] = place[inner]
-            look = np.zeros(n, bool)
-            look[passed] = look[at[~wins]] = look[place] = True
             left = before[place]
-            look[left[left >= 0]] = True
-            at = np.flatnonzero(look & ~gone & ~last)
+            look = np.concatenate([passed, at[~wins], place, left[left >= 0]])
+            if len(look) * 64 < n:
+                at = np.unique(look)
+            else:
+                mark = np.zeros(n, bool)
+                mark[look] = True
+                at = np.flatnonzero(mark).astype(np.int32)
+            at = at[~(gone[at] | last[at])]
         symbols, last = symbols[~gone], last[~gone]
     return rules, sizes, symbols, last
 
@@ -193,8 +197,8 @@ def write_tokens(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
         enc, end = encoder(), np.array([END], np.uint32)
         part, block, before, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(np.concatenate([enc.encode(text), end]))
+            for doc_id, x in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+                ids.append(np.concatenate([x, end]))
                 doc_ids.append(doc_id)
                 held += len(ids[-1])
                 if held >= shard_tokens:
