@@ -1,22 +1,29 @@
 """Packing of token ids into sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids (public byte-level BPE, then id 1) are first cut into full windows
-of ``capacity`` ids, each a sequence of its own without padding, and a rest. Rests
-are cut to pieces of at most ``piece`` ids and gathered, in order, into batches that
-fill ``windows`` windows but for ``slack`` ids each; the last piece of a batch is cut
-so that the batch is full. The pieces of a batch are then partitioned by multiway
-differencing: every piece starts as a partial partition with one filled window; the
-two partial partitions with the largest imbalance are merged with their windows in
-opposing order, until one is left. If its largest window exceeds the capacity, the
-window count rises by one and the differencing runs again.
+of ``capacity`` ids, each a sequence of its own (nothing could share it, so
+differencing would leave it alone), and a rest. Rests are cut to pieces of at most
+``piece`` ids and gathered, in order, into batches that fill ``windows`` windows but
+for ``slack`` ids each; the last piece of a batch is cut so that the batch is full. The
+pieces of a batch are then partitioned by multiway differencing: every piece starts as
+a partial partition with one filled window; the two partial partitions with the
+largest imbalance are merged with their windows in opposing order, until one is left.
+
+Windows come out within some 20 ids of each other. Those over the capacity exchange
+single pieces with others as long as that lowers the larger of the two; what is then
+still over is cut off, if another window has room for it, as documents may be cut
+anywhere. If none has, the window count rises by one and the differencing runs again.
 
 Plan: no shuffle. Each input partition is packed by itself in a stream (memory: one
-batch), so the result depends on the partition's rows alone and a repeated task
-writes the same rows. ``sequence_id`` is (partition << 33) + a counter: unique, not
-gapless. Padding: ``slack`` of a window in batches, one part-filled batch a partition.
-
-Defined results: null text = empty text, one piece with id 1 alone; repeated rows
-are packed each; an empty table gives no rows; extra columns are ignored.
+batch of rows and one of pieces), so the result depends on the partition's rows alone
+and a repeated task writes the same rows. ``sequence_id`` is (partition << 33) + a
+counter: unique, not gapless. Padding: ``slack`` of a window in batches (0.2 %), one
+part-filled batch a partition.
+
+Defined results: null text = empty text, one piece with id 1 alone; a null doc_id is
+kept as null; repeated rows are packed each; a very long text is cut into as many
+windows as it fills; an empty table gives no rows; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +40,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, text_of
 
 CAPACITY = 2048
-PIECE = 512
-WINDOWS = 64
-SLACK = 20
+PIECE = 1024
+WINDOWS = 128
+SLACK = 4
 END = 1
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -81,13 +88,42 @@ def difference(sizes: list[int], windows: int) -> np.ndarray:
     return out
 
 
-def windows_of(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """A window for each piece, none over the capacity, and the number of windows."""
-    k = max(1, -(-sum(sizes) // capacity))
+def exchange(sizes: np.ndarray, at: np.ndarray, windows: int, capacity: int) -> np.ndarray:
+    """Lowers the fullest window by exchanging one of its pieces, while it is over."""
+    at, load = at.copy(), np.bincount(at, sizes, windows).astype(np.int64)
+    while load[full := int(load.argmax())] > capacity:
+        own = np.flatnonzero(at == full)
+        less = sizes[own][:, None] - sizes[None, :]
+        worst = np.maximum(load[full] - less, load[at][None, :] + less)
+        worst[:, own] = load[full]
+        i, j = divmod(int(worst.argmin()), len(sizes))
+        if worst[i, j] >= load[full]:
+            break
+        load[full] -= less[i, j]
+        load[at[j]] += less[i, j]
+        at[own[i]], at[j] = at[j], full
+    return at
+
+
+def windows_of(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+    """A window for each piece, the number of windows, and cuts (piece, ids to cut off its
+    end, window that takes them): with them no window is over the capacity."""
+    size = np.array(sizes, np.int64)
+    k = max(1, -(-int(size.sum()) // capacity))
     while True:
-        at = difference(sizes, k)
-        if np.bincount(at, sizes, k).max(initial=0) <= capacity:
-            return at, k
+        at = exchange(size, difference(sizes, k), k, capacity)
+        room = capacity - np.bincount(at, size, k).astype(np.int64)
+        cuts = []
+        for w in np.flatnonzero(room < 0).tolist():
+            to, own = int(room.argmax()), np.flatnonzero(at == w)
+            longest = int(own[size[own].argmax()])
+            if room[to] < -room[w] or size[longest] <= -room[w]:
+                break
+            cuts.append((longest, int(-room[w]), to))
+            room[to] += room[w]
+            room[w] = 0
+        if room.min(initial=0) >= 0:
+            return at, k, cuts
         k += 1
 
 
@@ -103,27 +139,34 @@ class Packer:
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, at = len(ids), 0
         while n - at >= self.capacity:
-            self._row((doc_id, at, self.capacity, zlib.crc32(ids[at : at + self.capacity].tobytes()), n), self.next, 0)
+            self._row((doc_id, at, ids[at : at + self.capacity], n), self.next, 0)
             self.next += 1
             at += self.capacity
         while at < n:
             take = min(n - at, self.piece, self.left)
-            self.batch.append((doc_id, at, take, zlib.crc32(ids[at : at + take].tobytes()), n))
+            self.batch.append((doc_id, at, ids[at : at + take], n))
             at += take
             self.left -= take
             if not self.left:
                 self.close()
 
     def _row(self, piece: tuple, sequence: int, offset: int) -> None:
-        self.rows.append((*piece, sequence, offset))
+        doc_id, start, ids, n = piece
+        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids), n, sequence, offset))
 
     def close(self) -> None:
         """Packs the batch."""
-        at, k = windows_of([p[2] for p in self.batch], self.capacity)
+        at, k, cuts = windows_of([len(p[2]) for p in self.batch], self.capacity)
+        placed = list(zip(self.batch, at.tolist(), strict=True))
+        for i, over, to in cuts:
+            (doc_id, start, ids, n), w = placed[i]
+            keep = len(ids) - over
+            placed[i] = (doc_id, start, ids[:keep], n), w
+            placed.append(((doc_id, start + keep, ids[keep:], n), to))
         used = [0] * k
-        for p, w in zip(self.batch, at.tolist(), strict=True):
+        for p, w in placed:
             self._row(p, self.next + w, used[w])
-            used[w] += p[2]
+            used[w] += len(p[2])
         self.next += k if self.batch else 0
         self.left, self.batch = self.room, []
 
@@ -142,8 +185,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, windows:
         enc, end = encoder(), np.array([END], np.uint32)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, piece, windows, slack)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, np.concatenate([enc.encode(text), end]))
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+                packer.add(doc_id, np.concatenate([ids, end]))
                 if len(packer.rows) >= 20_000:
                     yield packer.take()
         packer.close()

@@ -5,9 +5,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tessera.llm import byte_bpe
 from tessera.llm.byte_bpe import Encoder
 from tessera.llm.common import scratch, table
-from tessera.llm.packing import CAPACITY, difference, pack, windows_of
+from tessera.llm.packing import CAPACITY, Packer, difference, pack, windows_of
 from tessera.llm.token_output import FILE, PHASES, documents_of, expand, read_document, read_tokens, repair, slice_of, write_tokens
 
 from .conftest import SF
@@ -29,14 +30,51 @@ def test_encoder_equals_the_library(spark, enc):
     rng = random.Random(5)
     alphabet = "ab  \n\t'sé—12½日😀_.\r\x0b\x1f"
     texts += ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(300)]
-    for t in texts:
-        assert enc.encode(t).tolist() == enc.whole.encode(t, add_special_tokens=False).ids, t
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode_all(texts)] == want
+    for t, x in zip(texts[::7], want[::7], strict=True):
+        assert enc.encode(t).tolist() == x, t
+
+
+def test_encoder_cuts_long_texts_and_forgets_nothing(enc, monkeypatch):
+    rng = random.Random(8)
+    words = ["it's", "we'll", "a", " ", "\n\n", "12", "?!", "'", "  x", "\t", "é", "don't'", "'s"]
+    text = " ".join(rng.choice(words) for _ in range(3000))
+    want = enc.whole.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(byte_bpe, "CHARACTERS", 64)
+    monkeypatch.setattr(byte_bpe, "_REMEMBER", 40)
+    small = Encoder()
+    for t in (text, text + " 日", "x" * 300, text[:500] + "y" * 90 + text[:200]):
+        assert small.encode(t).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+    assert small.encode(text).tolist() == want
 
 
 def ids_of(enc, text, end):
     return np.array([*enc.whole.encode(text or "", add_special_tokens=False).ids, end], np.uint32)
 
 
+def scalar_difference(sizes, k):
+    """Karmarkar-Karp by plain lists: windows of (sum, pieces), ascending."""
+    parts = {i: [(0, [])] * (k - 1) + [(s, [i])] for i, s in enumerate(sizes)}
+    while len(parts) > 1:
+        i, j = sorted(parts, key=lambda p: (parts[p][0][0] - parts[p][-1][0], p))[:2]
+        a, b = parts[i], parts.pop(j)
+        parts[i] = sorted(((a[w][0] + b[k - 1 - w][0], a[w][1] + b[k - 1 - w][1]) for w in range(k)), key=lambda x: x[0])
+    out = [0] * len(sizes)
+    for w, (_, pieces) in enumerate(next(iter(parts.values()), [])):
+        for x in pieces:
+            out[x] = w
+    return out
+
+
+def test_difference_equals_a_scalar_one():
+    rng = random.Random(4)
+    for n, k in ((0, 3), (1, 1), (5, 2), (40, 4), (60, 9), (12, 16)):
+        for high in (3, 40, 900):
+            sizes = [rng.randint(1, high) for _ in range(n)]
+            assert difference(sizes, k).tolist() == scalar_difference(sizes, k)
+
+
 def test_difference_balances():
     rng = random.Random(3)
     for k in (1, 2, 5, 16):
@@ -44,22 +82,50 @@ def test_difference_balances():
         at = difference(sizes, k)
         sums = np.bincount(at, sizes, k)
         assert len(at) == len(sizes) and sums.max() - sums.min() <= 0.1 * sums.mean() + 1
-    at, k = windows_of([1500] * 5)
-    assert k == 5 and len(set(at.tolist())) == 5  # the count rises from 4
+    at, k, cuts = windows_of([1500] * 5)
+    assert k == 5 and len(set(at.tolist())) == 5 and not cuts  # the count rises from 4
+    for sizes in ([1030] * 4, [1020, 1027, 1000, 1047, 2], [rng.randint(1, 1024) for _ in range(400)]):
+        at, k, cuts = windows_of(sizes)
+        load = np.bincount(at, sizes, k)
+        for i, over, to in cuts:
+            assert 0 < over < sizes[i]
+            load[at[i]] -= over
+            load[to] += over
+        assert load.max() <= CAPACITY
+
+
+def test_little_padding():
+    rng, packer = random.Random(9), Packer()
+    total = 0
+    for i in range(6000):
+        n = min(20_000, int(rng.lognormvariate(5.8, 1.1)) + 1)
+        total += n
+        packer.add(i, np.zeros(n, np.uint32))
+    last = packer.next
+    used = sum(r[2] for r in packer.rows)
+    assert used / (last * CAPACITY) > 0.997
+    packer.close()
+    assert sum(r[2] for r in packer.rows) == total
 
 
 @pytest.mark.parametrize("which", ["hard", "small"])
 def test_packing_covers_each_id_once(spark, enc, hard, which):
-    docs = hard.where("doc_id is not null").dropDuplicates(["doc_id"]) if which == "hard" else table(spark, SF, "documents")
+    docs = hard if which == "hard" else table(spark, SF, "documents")
     got = pack(docs).toPandas()
-    ids = {r.doc_id: ids_of(enc, r.text, 1) for r in docs.collect()}
-    assert set(got["doc_id"]) == set(ids)
+    texts, copies = {}, Counter()
+    for r in docs.collect():  # rows that repeat a doc_id repeat its text
+        key = -1 if r.doc_id is None else r.doc_id
+        texts[key] = ids_of(enc, r.text, 1)
+        copies[key] += 1
+    got["doc_id"] = got["doc_id"].fillna(-1).astype(int)
+    assert set(got["doc_id"]) == set(texts)
     for doc_id, g in got.groupby("doc_id"):
-        g, at, x = g.sort_values("start"), 0, ids[doc_id]
+        x = texts[doc_id]
+        times = np.zeros(len(x), int)
         for r in g.itertuples():
-            assert r.start == at and r.length > 0 and r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(x)
+            assert r.length > 0 and r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].tobytes())
+            times[r.start : r.start + r.length] += 1
+        assert (times == copies[doc_id]).all()
     used = 0
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
