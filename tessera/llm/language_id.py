@@ -6,21 +6,26 @@ The weights are trained by follow-the-regularised-leader (FTRL-proximal, per-wei
 learning rates) with elastic-net penalties, then a temperature is fitted on rows
 that the training left out.
 
-Bounds: the classifier is fitted on at most ``PER_LANGUAGE`` rows of each language,
-those with the smallest XXH64 of their doc_id (the documented sample); the document
+Bounds: the classifier is fitted on a sample of about ``PER_LANGUAGE`` different rows of
+each language (the documented bound): those whose XXH64 of doc_id and text is below
+the share PER_LANGUAGE / n of its range, n being the language's different rows, counted to
+some 2 %; the document
 frequencies cover all rows that may be learned from. Those are rows whose
 crc32(doc_id as text) mod 3 is not 1 and whose lang is not null. Prediction reads
-nothing but the text. The driver gets one count a slot and the sample's slots; the
-model that is broadcast has DIMENSIONS x languages weights, whatever the input.
+nothing but the text. The driver gets one count a slot and a language and the sample's
+slots; the model that is broadcast has DIMENSIONS x languages weights. More than
+``MAX_LANGUAGES`` different values of lang raise an error, as the model grows with them.
 
-Plan: one pass counts document frequencies (a dense vector a task, summed by slot),
-one fetches the sample, one predicts; none shuffles texts. The sample's rank filter
-is pushed below the exchange, so a language with most of the rows sends
-PER_LANGUAGE rows a partition.
+Plan: one pass counts languages, one counts document frequencies (a dense vector a
+task, summed by slot), one picks the sample by a filter and makes it distinct (at most a
+few thousand texts are shuffled), one predicts. No text but the sample's is
+shuffled, and no task gets a language as a whole.
 
 Defined results: null text or no letter = ``und`` with score 0; nothing to learn from
-= ``und`` with score 0 everywhere; a single language = that language, score 1; empty
-table = no rows; repeated rows get equal rows; extra columns are ignored.
+= ``und`` with score 0 everywhere; a single language = that language, score 1; a null
+doc_id is kept as null and is in the fold of the empty text; a very long text is read
+as a whole, 12 bytes a character; empty table = no rows; repeated rows get equal rows;
+extra columns, whatever their names, are ignored, by ``keep_identified`` kept.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
@@ -39,9 +44,10 @@ PER_LANGUAGE = 800
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
-#: keep_identified rejects rows under this calibrated score: little above a guess among
-#: three languages, so short clean texts with much personal data stay.
-LEAST_SCORE = 0.34
+MAX_LANGUAGES = 512
+#: keep_identified rejects scores within this share of a guess (1 / languages), but no more
+#: than this share of the labelled rows that the training left out.
+NO_BETTER, REJECTED = 0.02, 0.001
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 _MULTIPLIERS = [np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)]
@@ -74,7 +80,7 @@ def has_letter(text: str) -> bool:
 
 class Model:
     def __init__(self, languages: list[str], idf: np.ndarray):
-        self.languages, self.idf, self.temperature = languages, idf, 1.0
+        self.languages, self.idf, self.temperature, self.least = languages, idf, 1.0, 0.0
         self.weights = np.zeros((DIMENSIONS + 1, len(languages)))  # the last row is the bias
 
     def scores(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -129,6 +135,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], frequency: np.ndarray,
         grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
         loss = [-np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
+        best = softmax(scores / model.temperature).max(axis=1)
+        guess = 1 / len(languages)
+        model.least = min(guess + NO_BETTER * (1 - guess), float(np.quantile(best, REJECTED)))
     return model
 
 
@@ -141,6 +150,12 @@ def fit(docs: DataFrame) -> Model:
     """The model that docs' labelled rows outside the held-out fold give."""
     rows = docs.where((fold() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02)).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    if not counts:
+        return Model([], np.ones(DIMENSIONS))
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for b in batches:
@@ -158,14 +173,11 @@ def fit(docs: DataFrame) -> Model:
         else:
             df[slot] = n
 
-    # The sample is chosen without texts: first within salted parts of a language, so no
-    # task sees more than its share of a large one, then among what those parts leave.
-    keys = docs.where((fold() != 1) & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    few = keys.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).drop("k")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("__lang"), "k").dropDuplicates(["doc_id", "__lang"])
-    chosen = rows.join(ids, (rows["doc_id"] == ids["doc_id"]) & (rows["lang"] == ids["__lang"])).select("text", "lang", "k")
+    # Each language's share of the hash range holds about PER_LANGUAGE of its rows.
+    bits = 40
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, PER_LANGUAGE / max(n, 1)) * (1 << bits)))])
+    drawn = rows.withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits)))
+    chosen = drawn.where(F.col("k") < F.element_at(share, F.col("lang"))).select("text", "lang", "k").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,14 +209,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold() == 1).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the rows whose language cannot be told (``und``) or has a
-    calibrated score under ``least``. The text decides, so the filter needs no join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs without the rows whose language cannot be told (``und``) or has a calibrated
+    score under ``least`` (the model's own by default). The text decides, so the filter
+    needs no join; columns are kept as they are."""
+    model = fit(docs)
+    least = model.least if least is None else least
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def told(texts):
-        got = map(model.value.predict, texts)
+        got = map(held.value.predict, texts)
         import pandas as pd
 
         return pd.Series([x != UNKNOWN and s >= least for x, s in got], dtype=bool)
