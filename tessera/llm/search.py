@@ -6,16 +6,16 @@ term the places of its documents and the counts. Statistics are global (number o
 documents, those without words included, mean length, document frequencies over all
 shards), so scores of different shards compare and the merge of their top k is exact.
 
-In a shard alike documents are side by side, in blocks of ``BLOCK`` and parts of blocks of
-``PART``. Lists of terms in over 1 / ``DENSE`` of the documents have their largest
-impact in each block and each part; in the shorter lists a block would hold about one
-posting, so the postings are the maxima. WAND's test, whether the maxima of the
-terms that are there could reach the k-th best score so far (the threshold), is made
-for a whole query at once on each level: short lists are added up; the blocks with the
-highest bounds give a first threshold; blocks, then parts, whose bound is lower are
-skipped; the parts that are left are scored from the highest bound down while the
-threshold rises, until no bound reaches it. Bounds are 32-bit floats with a margin
-above their rounding; the documents that reach the threshold are scored in 64 bits
+In a shard alike documents are side by side, in blocks of ``BLOCK`` and tiles of ``TILE``
+documents. Lists of terms in over 1 / ``DENSE`` of the documents have their largest
+impact in each block; in the shorter lists a block would hold about one posting or none,
+so the postings are the maxima. WAND's test, whether the maxima of the terms that are
+there could reach the k-th best score so far (the threshold), is made for all blocks of
+a query at once: short lists are added up, block maxima of the others give a bound for
+each block. Tiles are visited from the highest bound down while the threshold rises,
+until no bound reaches it. In a tile blocks below the threshold are skipped, unless most
+reach it: then a pass over the whole tile is cheaper. Bounds are 32-bit floats with a
+margin above their rounding; documents that reach the threshold are scored in 64 bits
 from their own postings. Scores are rounded to 9 decimals, ties go to the smaller doc_id.
 
 Plan: documents are tokenised once into index rows in the shared folder; document
@@ -48,7 +48,9 @@ from pyspark.sql import functions as F
 from .common import cut, scratch, table, text_of
 
 K1, B, TOP = 1.2, 0.75, 10
-POSTINGS, BLOCK, PART, DENSE = 4_000_000, 64, 8, 16
+POSTINGS, BLOCK, TILE, DENSE = 4_000_000, 8, 1024, 16
+#: A tile with a smaller share of its blocks to score is scored block by block.
+FEW = 0.08
 #: Above the rounding of bounds, as a share and in all.
 MARGIN = 1e-5
 NO_ID = -(1 << 63)
@@ -106,7 +108,7 @@ class Shard:
     Terms of more than 1 / DENSE of the documents also have their impacts as a row over
     all documents; the rows are at most DENSE times the postings."""
 
-    def __init__(self, row: dict, mean: float, block: int = BLOCK, part: int = PART):
+    def __init__(self, row: dict, mean: float, block: int = BLOCK, tile: int = TILE):
         get = lambda k, t: np.frombuffer(row[k], t)
         self.ids, lengths = get("doc_ids", np.int64), get("lengths", np.int64)
         self.terms, sizes = get("terms", np.int64), get("sizes", np.int32)
@@ -114,7 +116,7 @@ class Shard:
         self.impact = count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[place] / mean))
         self.first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         n = len(self.ids)
-        self.block, self.part, self.blocks, self.scored = block, part, -(-n // block), 0
+        self.block, self.tile, self.tiles, self.scored = block, tile, -(-n // tile), 0
         dense = np.flatnonzero(sizes * DENSE > n)
         self.row = np.full(len(self.terms), -1, np.int64)
         self.row[dense] = np.arange(len(dense))
@@ -129,15 +131,12 @@ class Shard:
         new = np.empty(n, np.int32)
         new[order] = np.arange(n)
         self.ids, self.places = self.ids[order], new[place]
-        wide = np.zeros((len(dense), self.blocks * block), np.float32)
+        wide = np.zeros((self.tiles, len(dense), tile), np.float32)
         for i, t in enumerate(dense):
-            at = slice(self.first[t], self.first[t + 1])
-            wide[i, self.places[at]] = self.impact[at]
-        self.in_block = wide.reshape(len(dense), self.blocks, block)
-        self.in_part = wide.reshape(len(dense), self.blocks * (block // part), part)
-        parts = self.in_part.max(axis=2)
-        self.part_most = parts.reshape(len(dense), self.blocks, block // part)
-        self.block_most = self.part_most.max(axis=2)
+            p = self.places[self.first[t] : self.first[t + 1]]
+            wide[p // tile, i, p % tile] = self.impact[self.first[t] : self.first[t + 1]]
+        self.wide = wide
+        self.most = np.ascontiguousarray(wide.reshape(self.tiles, len(dense), tile // block, block).max(axis=3).transpose(1, 0, 2)).reshape(len(dense), -1)
         # The same postings by document, for exact scores: terms ascending in each.
         by_doc = np.argsort(self.places, kind="stable")
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)[by_doc]
@@ -162,54 +161,37 @@ class Shard:
         at, weights = at[here], weights[here]
         if not len(at):
             return nothing
-        n, row, per = len(self.ids), self.row[at], self.block // self.part
+        row, per = self.row[at], self.tile // self.block
         rare, rows, w = row < 0, row[row >= 0], weights[row >= 0].astype(np.float32)
         a, b = self.first[at[rare]], self.first[at[rare] + 1]
         post = self._ranges(a, b)
-        sure = np.bincount(self.places[post], np.repeat(weights[rare], b - a) * self.impact[post], self.blocks * self.block)
-        top_of = sure.reshape(-1, per, self.part).max(axis=2)
-        bound = self._raised(top_of.max(axis=1) + np.einsum("i,ij->j", w, self.block_most[rows]))
-
-        found_at, found, least = [np.zeros(0, np.int64)], [np.zeros(0)], 0.0
-
-        def score(chunk: np.ndarray, wide: np.ndarray, size: int) -> None:
-            """Scores documents of some blocks or parts, and raises the threshold."""
-            nonlocal least
-            some = (chunk[:, None] * size + np.arange(size)).ravel()
-            got = sure[some] + np.einsum("i,ijk->jk", w, wide[rows[:, None], chunk]).ravel()
+        sure = np.bincount(self.places[post], np.repeat(weights[rare], b - a) * self.impact[post], self.tiles * self.tile)
+        bound = np.maximum.reduce([sure[i :: self.block] for i in range(self.block)]) + w @ self.most[rows]
+        bound = (bound * (1 + MARGIN) + MARGIN * (bound > 0)).reshape(self.tiles, per)
+        sure = sure.reshape(self.tiles, self.tile)
+
+        where, held, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        best = bound.max(axis=1)
+        for t in np.argsort(-best).tolist():
+            if best[t] < max(least, 1e-12):
+                break
+            reach = np.flatnonzero(bound[t] >= least)
+            if len(reach) < FEW * per:
+                some = (reach[:, None] * self.block + np.arange(self.block)).ravel()
+                got = sure[t, some] + w @ self.wide[t][rows[:, None], some]
+            else:
+                some = np.arange(self.tile)
+                got = sure[t] + w @ self.wide[t][rows]
             self.scored += len(some)
-            keep = got > 0
-            if least:
-                keep &= got >= least - MARGIN * (1 + least)
-            found_at.append(some[keep])
-            found.append(got[keep])
-            if sum(map(len, found)) >= top:
-                best = np.concatenate(found)
-                least = max(least, float(np.partition(best, -top)[-top]))
-                if len(best) > 8 * top:
-                    where = np.concatenate(found_at)
-                    keep = best >= least - MARGIN * (1 + least)
-                    found_at[:], found[:] = [where[keep]], [best[keep]]
-
-        ahead = max(2, -(-2 * top // self.block))
-        begin = np.argpartition(-bound, ahead)[:ahead] if self.blocks > ahead else np.arange(self.blocks)
-        score(begin, self.in_block, self.block)
-        bound[begin] = -1.0
-        alive = np.flatnonzero(bound >= max(least, 1e-12))
-        if len(alive):
-            bound = self._raised(top_of[alive] + np.einsum("i,ijk->jk", w, self.part_most[rows[:, None], alive])).ravel()
-            number = (alive[:, None] * per + np.arange(per)).ravel()
-            left = bound >= max(least, 1e-12)
-            number, bound = number[left], bound[left]
-            order = np.argsort(-bound)
-            number, bound = number[order], bound[order]
-            lo, size = 0, 32
-            while lo < len(number) and bound[lo] >= least:
-                hi = min(lo + size, int(np.searchsorted(-bound, -least, "right")))
-                score(number[lo:hi], self.in_part, self.part)
-                lo, size = hi, size * 4
-        some = np.concatenate(found_at)
-        some = np.sort(some[np.concatenate(found) >= least - MARGIN * (1 + least)])
+            keep = np.flatnonzero(got >= max(1e-12, least - MARGIN * (1 + least)))
+            if not len(keep):
+                continue
+            where, held = np.r_[where, t * self.tile + some[keep]], np.r_[held, got[keep]]
+            if len(held) >= top:
+                least = max(least, float(np.partition(held, -top)[-top]))
+                stay = held >= least - MARGIN * (1 + least)
+                where, held = where[stay], held[stay]
+        some = np.sort(where)
         # Exact scores of what reaches the threshold, from the documents' own postings.
         self.weight[at] = weights
         a, b = self.doc_first[some], self.doc_first[some + 1]
@@ -221,10 +203,6 @@ class Shard:
         best = best[exact[best] > 0]
         return ids[best], exact[best]
 
-    @staticmethod
-    def _raised(bound: np.ndarray) -> np.ndarray:
-        return bound * (1 + MARGIN) + MARGIN * (bound > 0)
-
 
 def search(docs: DataFrame, asking: DataFrame, top: int = TOP, postings: int = POSTINGS, pairs: int = PAIRS) -> DataFrame:
     """query_id, query_key, rank, doc_id, score: the top documents of docs for each

@@ -64,7 +64,7 @@ def shard_of(texts):
     bags = [words(t) for t in texts]
     pairs = [(np.fromiter(b, np.int64, len(b)), np.fromiter(b.values(), np.int32, len(b))) for b in bags]
     row = _index(len(texts), list(range(len(texts))), pairs).to_pylist()[0]
-    return Shard(row, float(np.mean([sum(b.values()) for b in bags]))), bags
+    return Shard(row, float(np.mean([sum(b.values()) for b in bags])), tile=64), bags
 
 
 def test_blocks_are_skipped_and_nothing_is_lost(spark):
