@@ -5,9 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,22 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see. The cluster names it in
-    spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary
-    folder of this machine is taken."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    spark.checkpoint.dir; where that is unset a temporary folder of this machine is taken
+    in local mode (tests), and anything else is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    got = spark.sparkContext.getCheckpointDir()
-    if got:
-        return got.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    sc.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are in the shared folder, so a lost executor
-    costs nothing, and Spark's cleaner removes them when nothing refers to them."""
+    """A reliable checkpoint: the rows are in the shared folder, so a lost executor costs
+    nothing. Spark removes them when nothing refers to them any more only if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on; else they stay in the folder."""
     where = shared_dir(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(where)
@@ -48,15 +47,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written table, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys of rows to drop that may be broadcast: some 80 bytes each in memory.
+KEYS = 500_000
+
+
+def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in gone, whose columns are the names of keys
+    and whose rows are counted first: few are broadcast, so that no text moves; more are
+    joined by a shuffle, in which a text moves once. Null keys match nothing. Names of
+    docs cannot clash, as its rows are joined as one column."""
+    few = gone.limit(KEYS + 1).count() <= KEYS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[x.alias(f"__k_{k}") for k, x in keys.items()])
+    gone = gone.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+    left = rows.join(F.broadcast(gone) if few else gone, [f"__k_{k}" for k in keys], "left_anti")
+    return left.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def text_of(name: str = "text") -> Column:
     """The column, null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def set_threads() -> None:
     """The tokenizer library must not start threads of its own in an executor's worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

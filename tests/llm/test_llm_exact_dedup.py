@@ -3,9 +3,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm.common import table
-from tessera.llm.exact_dedup import CuckooFilter, CuckooIndex, dedup, drop_copies
+from tessera.llm.exact_dedup import CuckooIndex, dedup, digests, drop_copies, groups
 
 from .conftest import SF
 
@@ -40,20 +42,47 @@ def test_empty(empty):
     assert dedup(empty).count() == 0 and drop_copies(empty).count() == 0
 
 
-def test_filter_inserts_deletes_and_restores_on_overflow():
-    f, rng = CuckooFilter(16), random.Random(1)
+def test_rows_that_repeat_an_id(spark):
+    """Of one doc_id with equal texts one row stays, also where white space or other columns differ."""
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "z"), (2, "a\tb", "x"), (1, "c", "x"), (3, "c", "x"), (None, "d", "x"), (None, "d ", "x"), (None, "d", "y"), (5, "e", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumns({c: F.lit("own") for c in ("__row", "__k_id", "digest", "row", "id", "least", "n", "stays")})
+    for parts in (1, 4):
+        got = drop_copies(docs.repartition(parts))
+        assert got.columns == docs.columns
+        texts = sorted(((r.doc_id, " ".join(r.text.split())) for r in got.collect()), key=str)
+        assert texts[:4] == sorted([(1, "a b"), (1, "c"), (5, "e"), (None, "d")], key=str)[:4] and len(texts) == 5  # "d" and "d " differ
+
+
+def test_many_keys_are_joined_and_few_broadcast(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    want = {i for i, k, *_ in brute([(r.doc_id, r.text) for r in docs.collect()]) if i == k}
+    assert {r.doc_id for r in drop_copies(docs).collect()} == want
+    monkeypatch.setattr(common, "KEYS", 1)
+    assert {r.doc_id for r in drop_copies(docs).collect()} == want
+
+
+@pytest.mark.parametrize("max_live", [1, 2, 7])
+def test_full_indexes_lose_nothing(spark, max_live):
+    rows = [(i, f"text {i % 11}") for i in range(60)]
+    digested = digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    got = {(r.keep_id, r.group_size) for r in groups(digested, max_live).collect()}
+    assert got == {(k, len(range(k, 60, 11))) for k in range(11)}
+
+
+def test_index_inserts_deletes_and_restores_on_overflow():
+    index, rng = CuckooIndex(16), random.Random(1)
     keys = [rng.randbytes(32) for _ in range(200)]
     live = []
     for k in keys:
-        before = list(f.tags)
-        if f.insert(k):
+        before = list(index.tags), list(index.keys)
+        if index._insert(k, [k]):
             live.append(k)
         else:
-            assert f.tags == before
-    assert 40 < len(live) <= 64 and all(k in f for k in live)
+            assert (index.tags, index.keys) == before
+    assert 40 < len(live) <= 64 and all(index.get(k) == [k] for k in live)
     for k in live:
-        assert f.delete(k)
-    assert f.size == 0 and not any(f.tags)
+        assert index.remove(k) == [k]
+    assert len(index) == 0 and not any(index.tags) and not any(index.keys)
 
 
 def test_index_resizes_from_stored_keys_and_verifies_hits():
@@ -63,8 +92,26 @@ def test_index_resizes_from_stored_keys_and_verifies_hits():
         assert index.get(k) is None
         index.put(k, [i])
     assert index.resizes > 3 and all(index.get(k) == [i] for i, k in enumerate(keys))
-    false = keys[0][:10] + b"\0" * 22  # same bucket and tag, other key
-    assert false in index.filter and index.get(false) is None
+    false = keys[0][:10] + b"\0" * 22  # same buckets and tag, other key
+    assert index.places(false) == index.places(keys[0]) and index.get(false) is None
+    index.put(false, ["false"])
+    assert index.get(false) == ["false"] and index.get(keys[0]) == [0]
     for k in keys[::2]:
         index.remove(k)
-    assert len(index) == 2500 and index.get(keys[0]) is None and index.get(keys[1]) == [1]
+    assert len(index) == 2501 and index.get(keys[0]) is None and index.get(keys[1]) == [1] and index.get(false) == ["false"]
+    assert dict(index.items())[keys[3]] == [3]
+
+
+def test_index_equals_a_dictionary():
+    index, plain, rng = CuckooIndex(4), {}, random.Random(7)
+    keys = [rng.randbytes(32) for _ in range(300)]
+    for step in range(20_000):
+        k = rng.choice(keys)
+        if rng.random() < 0.5:
+            if index.get(k) is None:
+                index.put(k, [step])
+                plain[k] = [step]
+        else:
+            assert index.remove(k) == plain.pop(k, None)
+        assert len(index) == len(plain)
+    assert dict(index.items()) == plain
