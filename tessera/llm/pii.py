@@ -16,8 +16,9 @@ their characters or where the last match ended, so long runs are read once.
 
 Plan: a projection over the scan; no shuffle, no Python. Memory: one text.
 
-Defined results: null = empty text = no spans; empty table = no rows; repeated rows
-give repeated rows; extra columns are ignored by ``find`` and kept by ``redact``.
+Defined results: null = empty text = no spans; a null doc_id is kept as null; a very long
+text is searched as a whole; empty table = no rows; repeated rows give repeated rows;
+extra columns, whatever their names, are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -191,7 +192,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets (overlapping spans by the
     first one's) and n_chars made anew where a text changed."""
-    df = with_spans(docs)
+    # The row goes along as one column, so none of its names can clash.
+    df = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
     chars = F.split("__text", "")
     cut = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
 
@@ -205,10 +207,11 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), cut(acc["at"], F.greatest(F.length("__text") - acc["at"], F.lit(0))))
     changed = F.size("__spans") > 0
     df = df.withColumn("__new", F.when(changed, F.aggregate(by_start, first, step, rest)))
-    out = {"text": F.coalesce(F.col("__new"), F.col("text"))}
+    own = lambda c: F.col("row").getField(c)
+    out = {"text": F.coalesce(F.col("__new"), own("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return df.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        out["n_chars"] = F.when(changed, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return df.select(*[out.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table, text_of
+from .common import cut, remove, scratch, table, text_of
 
 K1, B, TOP = 1.2, 0.75, 10
 POSTINGS, BLOCK, TILE, DENSE = 4_000_000, 8, 1024, 16
@@ -259,6 +259,7 @@ def search(docs: DataFrame, asking: DataFrame, top: int = TOP, postings: int = P
 
         index.mapInArrow(run, HITS).write.mode("append").parquet(found)
         held.destroy()
+    remove(spark, path)
     hits = spark.read.schema(HITS).parquet(found)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     top_hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -16,8 +16,9 @@ U+2581 as a space, and takes away the prefix.
 Plan: no shuffle, one Arrow map; memory is a batch and a bounded table of words.
 
 Defined results: null = empty text = begin and end ids alone, decoded to the empty
-text; an empty table gives no rows; repeated rows give repeated rows; extra columns
-are ignored.
+text; a null doc_id is kept as null; a very long text is encoded as a whole; an empty
+table gives no rows; repeated rows give repeated rows; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations

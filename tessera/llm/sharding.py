@@ -13,7 +13,8 @@ change between the count of each partition and its use; the driver holds one
 count per partition; the permutation is vectorised arithmetic on Arrow batches.
 
 Defined results: null text has size 16 and CRC 0; null doc_id sorts first; equal
-rows get different slots; an empty table gives no rows; extra columns are ignored.
+rows get different slots; a very long text is read for its size and CRC alone; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -23,12 +23,14 @@ pre-aggregated shuffle by fingerprint, one shuffle by shard, rounds over links o
 (few), one join back by fingerprint that AQE splits where a fingerprint is hot. The
 driver holds the sample (``SAMPLE`` fingerprints), never links or components.
 
-Cost: a fingerprint visits more shards as the tree deepens (random 64-bit words lie
-near distance 32 of any vantage point, so a level multiplies visits by about 1.4).
+Cost: a fingerprint visits more leaves as the tree deepens (random 64-bit words lie
+near distance 32 of any vantage point, so a level multiplies visits by about 1.4), and
+work grows as the number of different fingerprints to the power 1.5 at worst.
 
 Defined results: null or empty text and text of white space = fingerprint zero, linked
 like any other; repeated rows have equal rows; null doc_id never becomes a
-component_id unless there is no other; empty table = no rows; extra columns are ignored.
+component_id unless there is no other; a very long text is hashed in parts of 65,536
+shingles; empty table = no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, table, text_of, without
 
 RADIUS = 2
 WORDS = 3
 SEED = 42
-#: Fingerprints that the top tree is built from, and fingerprints meant for a shard.
-SAMPLE, SHARD = 1 << 16, 1 << 14
+#: Fingerprints that the top tree is built from at most, and those meant for a shard: a
+#: sixteenth of all within these bounds (2 MB of words at most), as larger shards mean
+#: shallower trees and fewer copies of each fingerprint in the shuffle.
+SAMPLE, SHARDS, SMALL, LARGE = 1 << 16, 16, 1 << 14, 1 << 18
 LEAF = 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -162,9 +166,10 @@ def connect(words: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.nda
     return forest.roots()
 
 
-def links(different: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def links(different: DataFrame, n: int, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """different: one column fp, no repeats. Links (a, b), b < a, of a spanning
     forest of the components of each shard."""
+    shard = shard or min(LARGE, max(SMALL, n // SHARDS))
     # The sample: the fingerprints with the smallest hash, bounded and the same every time.
     size = max(1024, min(SAMPLE, 64 * (n // shard + 1)))
     sample = [r.fp for r in different.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()] if n > shard else []
@@ -224,11 +229,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id. Rows that
     repeat a doc_id are one document and stay or go together; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, {"doc_id": F.col("doc_id").cast("bigint")}, cut(gone))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
