@@ -10,14 +10,17 @@ import sys
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __name__ as NAME
 from .plans import experiments as E
+from .plans import provenance as P
 from .plans import workflow as W
 from .sinks import artifacts as A
+from .sinks import cache as C
 from .sinks import reports as R
+from .sinks.comparison import write_comparison
 
 PARAMETERS = {"lookback": "lookback", "short_window": "short", "long_window": "long"}
 METRICS = ("cumulative_return", "sharpe_ratio", "mean_ic")
@@ -41,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("validate-data")
-    command("build-dataset", "--output")
+    command("build-dataset", "--output", "--feature-cache")
     command("run-backtest", "--output")
     command("report", "--artifact-dir")
     command("plot-report").add_argument("--output-dir", required=True)
@@ -64,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--rank-by", action="append", default=[], choices=METRICS)
             c.add_argument("--rank-weight", action="append", default=[], type=float)
             c.add_argument("--artifact-dir")
+            c.add_argument("--top", type=int, default=3)
     return p
 
 
@@ -77,6 +81,21 @@ def _emit(df: DataFrame, output: str | None, title: str) -> None:
         A.write_table(df, output)
 
 
+def _dataset(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The panel; with a feature cache it is read from there if the same settings made it,
+    and else made and written there (labels, which look ahead, are never cached)."""
+    cfg = W.load_config(a.config)
+    if not a.feature_cache:
+        _emit(W.build_dataset(spark, cfg), a.output, "Dataset")
+        return
+    try:
+        df = C.load_cache(spark, a.feature_cache, cfg)
+    except (C.CacheError, AnalysisException):
+        C.write_cache(W.build_dataset(spark, cfg), a.feature_cache, cfg, P.plan_identity)
+        df = C.load_cache(spark, a.feature_cache, cfg)
+    _emit(df, a.output, "Dataset")
+
+
 def _experiment(spark: SparkSession, a: argparse.Namespace) -> None:
     cfg = W.load_config(a.config)
     panel = W.build_dataset(spark, cfg).cache()
@@ -120,7 +139,7 @@ def _report(spark: SparkSession, a: argparse.Namespace) -> None:
     print(text)
     if a.artifact_dir:
         d, pictures = Path(a.artifact_dir), W.charts(panel, signal, daily, cfg)
-        A.write_bundle(d, daily.orderBy("date"), text, {"config": cfg, "signal_column": signal, "columns": panel.columns})
+        A.write_bundle(d, daily.orderBy("date"), text, {"config": cfg, "signal_column": signal, "columns": panel.columns, "features": P.feature_sources(panel.columns), "signal": P.signal_source(cfg), "feature_plan": P.plan_identity(panel.columns, cfg)})
         R.write_charts(d / "charts", pictures)
         A.write_text(R.html_page(title, text, pictures), d / "index.html")
 
@@ -139,7 +158,7 @@ def _runs(a: argparse.Namespace) -> None:
     text = json.dumps(A.plain([{k: str(v) if isinstance(v, Path) else v for k, v in r.items()} for r in runs]), indent=2)
     print(text)
     if a.artifact_dir:
-        A.write_text(text, Path(a.artifact_dir) / "comparison.json")
+        write_comparison(a.artifact_dir, runs, a.top)
 
 
 def run(a: argparse.Namespace) -> None:
@@ -150,7 +169,7 @@ def run(a: argparse.Namespace) -> None:
     if a.command == "validate-data":
         print(W.validation_text(spark, W.load_config(a.config)))
     elif a.command == "build-dataset":
-        _emit(W.build_dataset(spark, W.load_config(a.config)), a.output, "Dataset")
+        _dataset(spark, a)
     elif a.command == "run-backtest":
         _emit(W.backtest(spark, W.load_config(a.config))[2].orderBy("date"), a.output, "Backtest")
     elif a.command in ("report", "plot-report"):

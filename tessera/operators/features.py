@@ -201,12 +201,21 @@ FACTORS = {
 }
 
 
-def factor_signal(df: DataFrame, name: str, **parameters: int) -> tuple[DataFrame, str]:
-    """The panel with a factor's signal, and the signal's column."""
+def get_factor(name: str) -> dict:
+    """Name, parameters with their defaults, and column of a factor."""
     key = name.strip().lower()
     if key not in FACTORS:
         raise ValueError(f"unknown factor {name}; known: {', '.join(FACTORS)}")
-    defaults, build, template = FACTORS[key]
+    return {"name": key, "parameters": dict(FACTORS[key][0]), "column": FACTORS[key][2]}
+
+
+def list_factors() -> list[dict]:
+    return [get_factor(k) for k in FACTORS]
+
+
+def factor_signal(df: DataFrame, name: str, **parameters: int) -> tuple[DataFrame, str]:
+    """The panel with a factor's signal, and the signal's column."""
+    defaults, build, template = FACTORS[get_factor(name)["name"]]
     if set(parameters) - set(defaults):
         raise ValueError(f"{name} takes {', '.join(defaults)}")
     p = defaults | parameters

@@ -108,15 +108,26 @@ TRANSFORMS = {
 def apply_transforms(df: DataFrame, score: str, steps: list[tuple[str, dict]]) -> tuple[DataFrame, str]:
     """A chain of named transforms, each on the last one's output."""
     for name, options in steps:
-        if name not in TRANSFORMS:
-            raise ValueError(f"unknown transform {name}; known: {', '.join(TRANSFORMS)}")
-        build, suffix = TRANSFORMS[name]
-        df, score = build(df, score, **options), f"{score}_{suffix}"
+        suffix = get_transform(name)["suffix"]
+        df, score = TRANSFORMS[name][0](df, score, **options), f"{score}_{suffix}"
     return df, score
 
 
-def standard_transform(df, score, winsorize_quantile=None, clip_bounds=None, residualize_on=None, demean_group=None, normalization="none", group=None) -> tuple[DataFrame, str]:
-    """The fixed order: winsorize, clip, residualize, demean, normalise."""
+def get_transform(name: str) -> dict:
+    """Name, suffix of the output's column and what the transform does."""
+    if name not in TRANSFORMS:
+        raise ValueError(f"unknown transform {name}; known: {', '.join(TRANSFORMS)}")
+    build, suffix = TRANSFORMS[name]
+    return {"name": name, "suffix": suffix, "scope": "date", "description": " ".join((build.__doc__ or name).split())}
+
+
+def list_transforms() -> list[dict]:
+    return [get_transform(k) for k in TRANSFORMS]
+
+
+def standard_steps(winsorize_quantile=None, clip_bounds=None, residualize_on=None, demean_group=None, normalization="none", group=None) -> list[tuple[str, dict, str]]:
+    """Transform, options and suffix of each step in the fixed order: winsorize, clip,
+    residualize, demean, normalise."""
     if group and normalization == "none":
         raise ValueError("a group needs a normalization")
     steps = []
@@ -130,4 +141,9 @@ def standard_transform(df, score, winsorize_quantile=None, clip_bounds=None, res
         steps.append(("demean", {"group": demean_group}))
     if normalization != "none":
         steps.append((normalization, {"group": group}))
-    return apply_transforms(df, score, steps)
+    return [(name, options, get_transform(name)["suffix"]) for name, options in steps]
+
+
+def standard_transform(df, score, *settings, **named) -> tuple[DataFrame, str]:
+    """The steps of :func:`standard_steps`, each on the last one's output."""
+    return apply_transforms(df, score, [(name, options) for name, options, _ in standard_steps(*settings, **named)])

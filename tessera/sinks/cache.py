@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def role(column: str) -> str:
     return next((r for r, starts in ROLES.items() if column.startswith(starts)), "feature")
 
 
-def feature_metadata(df: DataFrame, settings: dict | None = None) -> list[dict]:
-    """Name, type and role of each column, in order, with the settings that concern it."""
-    return [{"column": c, "type": t, "role": role(c), "settings": {k: v for k, v in (settings or {}).items() if k in c}} for c, t in df.dtypes]
+def feature_metadata(df: DataFrame) -> list[dict]:
+    """Name, type and role of each column, in order."""
+    return [{"column": c, "type": t, "role": role(c)} for c, t in df.dtypes]
 
 
 def fingerprint(metadata: object) -> str:
@@ -48,12 +49,9 @@ def fingerprint(metadata: object) -> str:
     return hashlib.sha256(json.dumps(plain(metadata), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def signal_metadata(factor: str, parameters: dict, steps: list[tuple[str, dict]], column: str) -> dict:
-    return {"factor": factor, "parameters": parameters, "transforms": [{"name": n, "options": o} for n, o in steps], "column": column}
-
-
-def write_cache(df: DataFrame, path: str, metadata: object) -> dict:
-    """Writes the table, then the manifest: a cache without one is incomplete."""
+def write_cache(df: DataFrame, path: str, metadata: object, identify: Callable | None = None) -> dict:
+    """Writes the table, then the manifest: a cache without one is incomplete. identify:
+    columns -> what the manifest says of the plan behind them."""
     if missing := [k for k in KEYS if k not in df.columns]:
         raise CacheError(f"missing keys {missing}")
     kept = [c for c in df.columns if role(c) != "label"]
@@ -63,6 +61,8 @@ def write_cache(df: DataFrame, path: str, metadata: object) -> dict:
     if rows != keys:
         raise CacheError(f"{rows - keys} rows without a key")
     manifest = {"schema_version": VERSION, "columns": kept, "row_count": rows, "fingerprint": fingerprint(metadata), "features": [m for m in feature_metadata(df) if m["column"] in kept]}
+    if identify:
+        manifest["plan"] = identify(kept)
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 

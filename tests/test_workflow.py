@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
+from tessera.operators import features as X
+from tessera.operators import transforms as T
+from tessera.plans import provenance as P
 from tessera.plans import workflow as W
-from tessera.sinks import artifacts, cache, reports
+from tessera.sinks import artifacts, cache, comparison, reports
 
 CONFIG = """
 [data]
@@ -158,3 +161,57 @@ def test_charts_are_whole():
     svg = reports.line_chart("a < b", [1, 2, 3], {"x": [1.0, None, 2.0], "none": [None] * 3})
     assert "a &lt; b" in svg and svg.count("<path") == 2 and svg.count("M") >= 2
     assert reports.line_chart("empty", [], {}).endswith("</svg>")
+
+
+def test_provenance_of_columns_and_signals(spark, config):
+    cfg = W.load_config(config)
+    panel, signal, _ = W.backtest(spark, cfg)
+    by = {x["column"]: x for x in P.feature_sources(panel.columns)}
+    assert by["forward_return_1d"]["role"] == "label" and by["forward_return_1d"]["parameters"] == {"n": 1}
+    assert by["yang_zhang_volatility_3d"]["family"] == "range_volatility" and by["rolling_benchmark_beta_3d"]["inputs"] == ["daily_return", "benchmark_return"]
+    assert by["is_universe_eligible"]["role"] == "filter" and by[signal]["role"] == "signal"
+    got = {c: P.column_source(c) for c in ("fundamental_net_income", "valuation_eps_to_price", "quality_a_to_b", "growth_a", "trend_signal_2_5d_zscore", "market_cap_bucket", "my_input", "borrow_fee_bps")}
+    assert got["valuation_eps_to_price"].inputs == ("fundamental_eps", "close") and got["quality_a_to_b"].inputs == ("fundamental_a", "fundamental_b")
+    assert got["trend_signal_2_5d_zscore"].parameters == {"n": 2, "m": 5} and got["my_input"].family == "input" and got["borrow_fee_bps"].source == "borrow_availability"
+    cfg["signal"] |= {"winsorize_quantile": 0.1, "cross_sectional_normalization": "zscore"}
+    s = P.signal_source(cfg)
+    assert s["raw_column"] == "momentum_signal_2d" and [x["transform"] for x in s["steps"]] == ["winsorize", "zscore"] and s["column"] == "momentum_signal_2d_winsorized_zscore"
+    a, b = P.plan_identity(panel.columns, cfg), P.plan_identity(panel.columns[:-1], W.load_config(config))
+    assert a["cache_key"] != b["cache_key"] and a["labels"] == ["forward_return_1d"] and signal in a["signals"]
+    assert a["cache_key"] == P.plan_identity(panel.columns, cfg)["cache_key"]
+
+
+def test_definitions_are_listed():
+    assert [f["name"] for f in X.list_factors()] == ["momentum", "mean_reversion", "trend"] and X.get_factor(" Trend ")["parameters"] == {"short": 20, "long": 60}
+    assert {t["name"] for t in T.list_transforms()} == {"winsorize", "clip", "residualize", "demean", "zscore", "robust_zscore", "rank"}
+    for f in (X.get_factor, T.get_transform):
+        with pytest.raises(ValueError, match="unknown"):
+            f("none")
+
+
+def test_dataset_through_the_feature_cache(spark, config, tmp_path, capsys):
+    c = ["build-dataset", "--config", str(config), "--feature-cache", str(tmp_path / "cache")]
+    assert cli.main([*c, "--output", str(tmp_path / "a")]) == 0
+    made = (tmp_path / "cache/table/_SUCCESS").stat().st_mtime_ns
+    assert cli.main([*c, "--output", str(tmp_path / "b")]) == 0
+    assert (tmp_path / "cache/table/_SUCCESS").stat().st_mtime_ns == made  # read, not made again
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 30
+    assert len(cache.load_manifest(spark, str(tmp_path / "cache"))["plan"]["cache_key"]) == 64
+
+
+def test_comparison_bundle(tmp_path):
+    sweep = tmp_path / "s.csv"
+    sweep.write_text("parameter_value,cumulative_return,sharpe_ratio,mean_ic,max_drawdown,average_turnover\n1,0.1,1,0.2,-0.1,0.5\n2,0.3,,0.1,0,0.4\n3,,2,0.1,0,0.4\n")
+    folds = tmp_path / "w.csv"
+    folds.write_text("fold_index,selected_parameter_value,test_cumulative_return,test_mean_ic\n1,2,0.1,0.5\n2,1,-0.1,\n")
+    runs = [{"run_id": "a", "command": "sweep-signal", "parameter": "lookback", "values": "1,2,3", "results_path": str(sweep), "cumulative_return": 0.3, "sharpe_ratio": None, "mean_ic": 0.1, "best_value": "2"}]
+    runs.append({"run_id": "b", "command": "walk-forward-signal", "parameter": "lookback", "values": "1,2", "results_path": str(folds), "cumulative_return": -0.01, "sharpe_ratio": None, "mean_ic": 0.5})
+    text = comparison.report(runs, 2)
+    assert "best of lookback" in text and "folds of lookback" in text and text.index("0.3") < text.index("best of lookback")
+    assert len([x for x in text.split("\n\n")[1].splitlines()]) == 4  # title, head, two candidates
+    comparison.write_comparison(tmp_path / "out", runs)
+    got = json.loads((tmp_path / "out/comparison.json").read_text())
+    assert got["run_ids"] == ["a", "b"] and got["best"] == {"cumulative_return": "a", "sharpe_ratio": None, "mean_ic": "b"}
+    assert (tmp_path / "out/index.html").is_file() and len(list((tmp_path / "out/charts").glob("*.svg"))) == 5
+    with pytest.raises(artifacts.ArtifactError):
+        comparison.report(runs, 0)
