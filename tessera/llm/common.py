@@ -53,22 +53,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Keys of rows to drop that may be broadcast: some 80 bytes each in memory.
+#: Keys of rows to drop or to fetch that may be broadcast: some 80 bytes each in memory.
 KEYS = 500_000
 
 
-def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
-    """docs without the rows whose keys are in gone, whose columns are the names of keys
-    and whose rows are counted first: few are broadcast, so that no text moves; more are
-    joined by a shuffle, in which a text moves once. Null keys match nothing. Names of
-    docs cannot clash, as its rows are joined as one column."""
-    few = gone.limit(KEYS + 1).count() <= KEYS
+def _by_list(docs: DataFrame, keys: dict[str, Column], listed: DataFrame, how: str) -> DataFrame:
+    """docs joined with a list of keys, whose rows are counted first: few are broadcast, so
+    that no text moves; more are joined by a shuffle, in which a text moves once. Null keys
+    match nothing. Names of docs cannot clash, as its rows are joined as one column."""
+    few = listed.limit(KEYS + 1).count() <= KEYS
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[x.alias(f"__k_{k}") for k, x in keys.items()])
-    gone = gone.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
-    left = rows.join(F.broadcast(gone) if few else gone, [f"__k_{k}" for k in keys], "left_anti")
+    listed = listed.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+    left = rows.join(F.broadcast(listed) if few else listed, [f"__k_{k}" for k in keys], how)
     return left.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
+def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in gone, whose columns are the names of keys."""
+    return _by_list(docs, keys, gone, "left_anti")
+
+
+def only(docs: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are in wanted, whose columns are the names of keys."""
+    return _by_list(docs, keys, wanted, "left_semi")
+
+
 def text_of(name: str = "text") -> Column:
     """The column, null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
