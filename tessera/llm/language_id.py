@@ -33,11 +33,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import slices, table, text_of
 
 DIMENSIONS = 1 << 15
 PER_LANGUAGE = 800
@@ -158,7 +159,7 @@ def fit(docs: DataFrame) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 total[slots_of(text)[0]] += 1
                 n += 1
@@ -180,7 +181,7 @@ def fit(docs: DataFrame) -> Model:
     chosen = drawn.where(F.col("k") < F.element_at(share, F.col("lang"))).select("text", "lang", "k").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [slots_of(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2), pa.array([a.astype("<u2").tobytes() for a, _ in found]), pa.array([n.astype("<u4").tobytes() for _, n in found])],
@@ -199,7 +200,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in slices(batches):
             got = [m.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
@@ -218,11 +219,10 @@ def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def told(texts):
-        got = map(held.value.predict, texts)
-        import pandas as pd
-
-        return pd.Series([x != UNKNOWN and s >= least for x, s in got], dtype=bool)
+    def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            got = map(held.value.predict, batch)
+            yield pd.Series([x != UNKNOWN and s >= least for x, s in got], dtype=bool)
 
     return docs.where(told(text_of()))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import slices, table, text_of
 
 CAPACITY = 2048
 PIECE = 1024
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, windows:
 
         enc, end = encoder(), np.array([END], np.uint32)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, piece, windows, slack)
-        for b in batches:
+        for b in slices(batches, 2048):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
                 packer.add(doc_id, np.concatenate([ids, end]))
                 if len(packer.rows) >= 20_000:
