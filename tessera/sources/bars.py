@@ -13,14 +13,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar a day and user: first, highest, lowest, last and summed value."""
-    e = events(spark, sf_dir).where("value > 0").select(F.to_date("ts").alias("date"), F.col("user_id").cast("string").alias("symbol"), "ts", "value")
+    """One bar a day and user: first, highest, lowest, last and summed value. Values are
+    added one by one in the order of the file's rows, as a scan does: a sum of doubles
+    depends on that order, and thresholds on volume decide by its last bit."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    e = events(spark, sf_dir).where("value > 0").select(F.to_date("ts").alias("date"), F.col("user_id").cast("string").alias("symbol"), "ts", "value", *place)
+    w = Window.partitionBy("date", "symbol").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumns({"sum": F.sum("value").over(w), "k": F.count("*").over(w)})
     return e.groupBy("date", "symbol").agg(
         F.min_by("value", "ts").alias("open"),
         F.max("value").alias("high"),
         F.min("value").alias("low"),
         F.max_by("value", "ts").alias("close"),
-        F.sum("value").alias("volume"),
+        F.max_by("sum", "k").alias("volume"),
     )
 
 

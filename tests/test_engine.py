@@ -364,3 +364,27 @@ def test_a_bucket_that_lost_all_has_no_cumulative_return(spark):
     daily = spark.createDataFrame([(DAY0, 1, -1.0)], "date date, bucket int, mean_return double")
     with pytest.raises(Exception, match="lost all"):
         A.quantile_cumulative(daily).collect()
+
+
+def test_volume_is_added_in_the_order_of_the_rows(spark, tmp_path, monkeypatch):
+    """Two days that reach the least average volume of 60 in cents; in doubles the order decides."""
+    import duckdb
+
+    from tessera.plans import queries as Q
+
+    monkeypatch.setitem(Q.ORACLE, "volume", Q.SQL + "SELECT date, volume FROM bars")
+    cents = (8.2, 29.01, 22.06, 0.73)
+    assert ((8.2 + 29.01) + 22.06) + 0.73 < 60 == (8.2 + 29.01) + (22.06 + 0.73)
+    values = [(n, 0, 400.0) for n in range(1, 5)] + [(n, k, x) for n in (5, 6) for k, x in enumerate(cents)] + [(7, 0, 400.0)]
+    rows = [(dt.datetime(2024, 1, n) + dt.timedelta(seconds=k), 7, "view", x) for n, k, x in values]
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # a task a file
+    for name, key in (("parts", lambda r: r[0].second // 2), ("whole", lambda r: 0), ("reverse", lambda r: -r[0].second)):
+        for k in sorted(set(map(key, rows))):
+            part = spark.createDataFrame([r for r in rows if key(r) == k], "ts timestamp_ntz, user_id bigint, event_type string, value double")
+            part.coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet/k={k + 50}")
+        con = duckdb.connect(config={"threads": 1})
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*/*.parquet'")
+        rows_of = lambda q: sorted(con.execute(Q.ORACLE[q]).fetchall())  # noqa: E731, B023
+        assert sorted(map(tuple, Q.panel(spark, f"{tmp_path}/{name}").select("date", "volume").collect())) == rows_of("volume")
+        assert sorted(map(tuple, Q.QUERIES["universe"](spark, f"{tmp_path}/{name}").collect())) == rows_of("universe")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
