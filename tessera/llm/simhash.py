@@ -84,20 +84,21 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
 
 
 class VPTree:
-    """A vantage-point tree over 64-bit words. Inner nodes: (vantage point, mu, left,
-    right), left within mu; leaves: arrays of positions."""
+    """A vantage-point tree over 64-bit words, or over rows with a metric of their own
+    (whole numbers). Inner nodes: (vantage point, mu, left, right), left within mu;
+    leaves: arrays of positions."""
 
-    def __init__(self, words: np.ndarray, leaf: int):
-        self.words, self.leaves = words, 0
+    def __init__(self, words: np.ndarray, leaf: int, distance=_distance):
+        self.words, self.leaves, self.distance = words, 0, distance
         self.root = self._build(np.arange(len(words)), leaf)
 
     def _build(self, at: np.ndarray, leaf: int):
         if len(at) > leaf:
             # Of a few candidates, the vantage point with the widest spread prunes best.
             some = self.words[at[:: max(1, len(at) // 200)]]
-            spread = [(float(_distance(some, self.words[i]).var()), -k, i) for k, i in enumerate(at[:: max(1, len(at) // 5)][:5])]
+            spread = [(float(self.distance(some, self.words[i]).var()), -k, i) for k, i in enumerate(at[:: max(1, len(at) // 5)][:5])]
             vp = self.words[max(spread)[2]]
-            d = _distance(self.words[at], vp)
+            d = self.distance(self.words[at], vp)
             mu = int(np.sort(d)[(len(d) - 1) // 2])
             inside = d <= mu
             if inside.all():
@@ -119,7 +120,7 @@ class VPTree:
                 yield node[0], node[1], q
                 continue
             vp, mu, left, right = node
-            d = _distance(queries[q], vp).astype(np.int16)
+            d = self.distance(queries[q], vp).astype(np.int16)
             stack.append((right, q[d > mu - radius]))
             stack.append((left, q[d <= mu + radius]))
 

@@ -121,3 +121,29 @@ def test_hard_rows(spark, hard, empty):
     got = drop_near(hard)
     assert got.columns == hard.columns and drop_near(empty).count() == 0
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "6", "None"]
+
+
+@pytest.mark.parametrize("shard", [15, 60, 4000])
+def test_trees_find_every_candidate(spark, shard):
+    """Fingerprints in vantage-point trees against all pairs: near copies of sets of all sizes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [4, 5, 8, 12, 30, 100, 400, 2000] * 6:
+        base = rng.choice(1 << 62, n, replace=False).astype(np.uint64)
+        sets += [np.unique(np.r_[base[k:], rng.choice(1 << 62, k).astype(np.uint64)]) for k in (0, *rng.integers(0, max(1, n // 8) + 1, 4))]
+    sets = list({near_copies.node(x): x for x in sets}.values())
+    fps = [near_copies.fingerprint(x) for x in sets]
+    rows = [(i, len(x), bytearray(f.tobytes())) for i, (x, f) in enumerate(zip(sets, fps, strict=True))]
+    links = near_copies.near_points(spark.createDataFrame(rows, "node bigint, size bigint, fp binary"), shard)
+    stars = {r.a: r.b for r in near_copies.components(links).collect()}
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+            u, v = (round(np.log(len(sets[k])) * near_copies.RADIUS / np.log(1.25)) for k in (i, j))
+            near = max(both, abs(u - v)) <= near_copies.RADIUS + 1
+            assert near or not near_copies.alike(sets[i], sets[j])
+            if near and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    assert [stars.get(i, i) for i in range(len(sets))] == want and len(set(want)) < len(want) / 2
